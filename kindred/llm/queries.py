@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sharding
+from . import mixing, quality, sharding, warc
+from .common import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -27,3 +30,15 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken()
+
+
+@query
+def op3_segment_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.summary(warc.read(spark, path))
