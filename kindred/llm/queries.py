@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding, warc
+from . import minhash, mixing, quality, sharding, warc
 from .common import shared_dir
 
 QUERIES: dict = {}
@@ -42,3 +42,8 @@ def op3_segment_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), path)
     return warc.summary(warc.read(spark, path))
+
+
+@query
+def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.NearDuplicates(table(spark, sf_dir, "documents")).groups()
