@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, quality, sharding, warc
+from . import minhash, mixing, packing, quality, sharding, warc
 from .common import shared_dir
 
 QUERIES: dict = {}
@@ -47,3 +47,8 @@ def op3_segment_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.NearDuplicates(table(spark, sf_dir, "documents")).groups()
+
+
+@query
+def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
