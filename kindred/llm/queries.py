@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, quality, sharding, warc
+from . import chat, embeddings, minhash, mixing, packing, quality, sharding, warc
 from .common import shared_dir
 
 QUERIES: dict = {}
@@ -52,3 +53,49 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_collision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_collision_counts"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), reach AS (
+  SELECT vec_id AS v, vec_id AS r FROM v
+  UNION
+  SELECT reach.v, links.b FROM reach JOIN links ON links.a = reach.r
+)
+SELECT v AS vec_id, (SELECT count(*) FROM links WHERE links.a = reach.v) AS n_links,
+       min(r) AS component_id, v = min(r) AS kept
+FROM reach GROUP BY v
+"""
+
+
+@query
+def op7_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = chat.collapse(table(spark, sf_dir, "conversations"))
+    return kept.select("conv_id", "n_turns", "copies", F.octet_length("rendered").cast("long").alias("rendered_bytes"), F.md5("rendered").alias("rendered_md5"))
+
+
+ORACLES["op7_snapshot_collapse"] = """
+WITH c AS (
+  SELECT conv_id, count(*) AS n_turns,
+    list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS said
+  FROM conversations GROUP BY conv_id
+), heads AS (
+  SELECT said, n_turns, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY said, n_turns
+), prefixes AS (
+  SELECT DISTINCT list_slice(said, 1, k) AS said FROM c, unnest(range(1, n_turns)) AS u(k)
+), kept AS (
+  SELECT conv_id, n_turns, copies, list_aggregate(list_transform(said, lambda x:
+    '<|im_start|>' || coalesce(x.r, 'user') || chr(10) || coalesce(x.t, '') || '<|im_end|>' || chr(10)), 'string_agg', '') AS rendered
+  FROM heads WHERE NOT EXISTS (SELECT 1 FROM prefixes WHERE prefixes.said = heads.said)
+)
+SELECT conv_id, n_turns, copies, strlen(rendered) AS rendered_bytes, md5(rendered) AS rendered_md5 FROM kept
+"""
