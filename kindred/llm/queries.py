@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, minhash, mixing, packing, quality, sharding, warc
+from . import chat, embeddings, minhash, mixing, packing, quality, sharding, templates, warc
 from .common import shared_dir
 
 QUERIES: dict = {}
@@ -99,3 +99,10 @@ WITH c AS (
 )
 SELECT conv_id, n_turns, copies, strlen(rendered) AS rendered_bytes, md5(rendered) AS rendered_md5 FROM kept
 """
+
+
+@query
+def op6_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = templates.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_dropped", F.octet_length(kept).cast("long").alias("kept_bytes"), F.md5(kept).alias("kept_md5"))
