@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, minhash, mixing, packing, quality, sharding, templates, warc
+from . import chat, embeddings, licences, minhash, mixing, packing, quality, sharding, templates, warc
 from .common import shared_dir
 
 QUERIES: dict = {}
@@ -106,3 +106,9 @@ def op6_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = templates.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_dropped", F.octet_length(kept).cast("long").alias("kept_bytes"), F.md5(kept).alias("kept_md5"))
+
+
+@query
+def op1_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), "confirmed_share")
