@@ -1,7 +1,372 @@
-"""The named queries over the test tables, and the same in DuckDB SQL."""
+"""The named queries over the test tables, and the same in DuckDB SQL.
+
+All run over the whole of `embeddings`; where a query set and a catalog are asked for, both are the whole table.
+Values are rounded to six digits, since engines add in different orders.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bits, hyperplanes
+from ..functions import vectors as V
+from ..operators import buckets, topk, windows
+from ..operators.joiners import BlockedLsh, BucketLsh, ExactQueryJoin, ExactSelfJoin, HammingJoin
+from ..operators.signatures import bit_string, keyed_rounds, with_signature, with_signature_sql
+from ..sources import vectors as source
+from .report import neighbour_report
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLAGSHIP = "lsh_self_join"
+
+DIM, LOW = 64, 0.2
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.as_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+
+
+def _rounded(pairs: DataFrame) -> DataFrame:
+    return pairs.select("i", "j", F.round("value", 6).alias("value"))
+
+
+E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
+PAIRS = f"{E}, pairs AS (SELECT a.id AS i, b.id AS j, list_cosine_similarity(a.v, b.v) AS value FROM e a, e b)"
+
+
+def _bits_sql(r, vector: str = "v") -> str:
+    return f"array_to_string(list_transform({hyperplanes.literal(r)}::DOUBLE[][], lambda p: CASE WHEN list_dot_product({vector}, p) > 0 THEN '1' ELSE '0' END), '')"
+
+
+# Exact joins.
+@query(f"WITH {PAIRS} SELECT i, j, round(value, 6) AS value FROM pairs WHERE i < j AND value >= {LOW}")
+def nn_self_cosine(spark, sf_dir):
+    return _rounded(ExactSelfJoin(LOW).join(_vectors(spark, sf_dir)))
+
+
+def _share(c: str, percent: int):
+    return F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 8), 16, 10).cast("long") % 100 < percent
+
+
+def _share_sql(c: str, percent: int) -> str:
+    return f"('0x' || substr(md5({c}::VARCHAR), 1, 8))::BIGINT % 100 < {percent}"
+
+
+@query(f"WITH {PAIRS} SELECT i, j, round(value, 6) AS value FROM pairs WHERE i < j AND value >= {LOW} AND {_share_sql('i', 30)}")
+def nn_self_sampled(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _rounded(ExactSelfJoin(LOW).join(v, v.where(_share("id", 30))))
+
+
+@query(f"WITH {PAIRS} SELECT i, j, round(value, 6) AS value FROM pairs WHERE value >= {LOW}")
+def nn_query_catalog(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _rounded(ExactQueryJoin(LOW).join(v, v))
+
+
+@query(f"WITH {PAIRS} SELECT i, j, round(value, 6) AS value FROM pairs WHERE value >= {LOW} AND {_share_sql('i', 40)} AND {_share_sql('j', 60)}")
+def nn_query_sampled(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _rounded(ExactQueryJoin(LOW).join(v.where(_share("id", 40)), v.where(_share("id", 60))))
+
+
+@query(f"WITH {E} SELECT a.id AS i, b.id AS j, round(-list_distance(a.v, b.v), 6) AS value FROM e a, e b WHERE a.id < b.id AND -list_distance(a.v, b.v) >= -1.25")
+def nn_custom_distance(spark, sf_dir):
+    return _rounded(ExactSelfJoin(-1.25, V.NEGATIVE_DISTANCE).join(_vectors(spark, sf_dir)))
+
+
+@query(f"WITH {E} SELECT a.id AS i, b.id AS j, round(list_dot_product(a.v, b.v), 6) AS value FROM e a, e b WHERE a.id < b.id AND list_dot_product(a.v, b.v) >= {LOW}")
+def nn_custom_column(spark, sf_dir):
+    return _rounded(ExactSelfJoin(LOW, V.Similarity(V.dot)).join(_vectors(spark, sf_dir)))
+
+
+@query()
+def sample_bernoulli(spark, sf_dir):
+    return _rounded(ExactSelfJoin(LOW, fraction=0.3, seed=5).join(_vectors(spark, sf_dir)))
+
+
+# Vector functions.
+@query(f"WITH {E} SELECT e.id, round(sqrt(list_dot_product(e.v, e.v)), 6) AS norm, round(list_dot_product(e.v, list_reverse(e.v)), 6) AS dot FROM e")
+def vec_norm_dot(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return v.select("id", F.round(V.l2_norm("vector"), 6).alias("norm"), F.round(V.dot("vector", F.reverse("vector")), 6).alias("dot"))
+
+
+@query(f"WITH {E} SELECT id, 0.0::DOUBLE AS zero, round(list_cosine_similarity(v, list_reverse(v)), 6) AS value FROM e")
+def cosine_zero_vector(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    nothing = F.transform("vector", lambda x: x * 0)
+    return v.select("id", V.cosine(F.col("vector"), nothing).alias("zero"), F.round(V.cosine(F.col("vector"), F.reverse("vector")), 6).alias("value"))
+
+
+# Signatures and bits.
+SIGNS = hyperplanes.planes(DIM, 16, 42)
+SHUFFLED = hyperplanes.permuted(SIGNS, hyperplanes.permutation(16, 43))
+
+
+@query(f"WITH {E} SELECT id, {_bits_sql(SIGNS)} AS bits, {_bits_sql(SIGNS)} AS bits_sql FROM e")
+def signature_bits(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    a = with_signature(v, SIGNS).select("id", bit_string(16).alias("bits"))
+    return a.join(with_signature_sql(v, SIGNS).select("id", F.col("bits").alias("bits_sql")), "id")
+
+
+@query(f"WITH {E} SELECT id, {_bits_sql(SHUFFLED)} AS bits FROM e")
+def signature_permuted(spark, sf_dir):
+    return with_signature(_vectors(spark, sf_dir), SHUFFLED).select("id", bit_string(16).alias("bits"))
+
+
+@query(f"WITH {E} SELECT id, list_sum(list_transform(range(0, 64), lambda k: CASE WHEN v[k + 1] > 0 THEN 1 ELSE 0 END))::BIGINT AS positive, "
+       "array_to_string(list_filter(range(0, 64), lambda k: v[k + 1] > 0), ',') AS bits FROM e")
+def sign_bits(spark, sf_dir):
+    b = bits.from_signs("vector")
+    return _vectors(spark, sf_dir).select("id", bits.cardinality(b).alias("positive"), bits.to_text(b).alias("bits"))
+
+
+X, Y = "vec_id", "(vec_id * 7 + 3)"
+
+
+@query(f"""SELECT vec_id AS id, {X} & {Y} AS both, {X} | {Y} AS either, xor({X}, {Y}) AS differ, {X} & ~{Y} AS without, bit_count({Y})::BIGINT AS n,
+  bit_count(xor({X}, {Y}))::BIGINT AS hamming, coalesce(list_min(list_filter(range(2, 64), lambda k: (({X} >> k::INT) & 1) = 1)), -1)::INT AS next,
+  array_to_string(list_filter(range(0, 63), lambda k: (({X} >> k::INT) & 1) = 1), ',') AS text, 64::BIGINT AS capacity, xor({X}, {Y}) = 0 AS equal FROM embeddings""")
+def bits_algebra(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.array("vec_id").alias("x"), F.array(F.col("vec_id") * 7 + 3).alias("y"))
+    one = lambda c: F.get(c, F.lit(0))
+    return df.select("id", one(bits.and_("x", "y")).alias("both"), one(bits.or_("x", "y")).alias("either"), one(bits.xor("x", "y")).alias("differ"),
+                     one(bits.and_not("x", "y")).alias("without"), bits.cardinality("y").alias("n"), bits.hamming("x", "y").alias("hamming"),
+                     bits.next_set_bit("x", 2).alias("next"), bits.to_text("x").alias("text"), bits.capacity("x").alias("capacity"), bits.equal("x", "y").alias("equal"))
+
+
+@query("""SELECT vec_id AS id, ((vec_id >> (vec_id % 10)::INT) & 1)::INT AS got, vec_id | (1::BIGINT << (vec_id % 40)::INT) AS set, vec_id & ~(1::BIGINT << (vec_id % 10)::INT) AS unset,
+  xor(vec_id, 1::BIGINT << (vec_id % 62)::INT) AS flipped, vec_id | 31 AS filled, vec_id & ~31::BIGINT AS emptied, 0::BIGINT AS cleared FROM embeddings""")
+def bits_single(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.array("vec_id").alias("x"))
+    one = lambda c: F.get(c, F.lit(0))
+    k = lambda n: (F.col("id") % n).cast("int")
+    return df.select("id", bits.bit_get("x", k(10)).alias("got"), one(bits.with_bit("x", k(40))).alias("set"), one(bits.without_bit("x", k(10))).alias("unset"),
+                     one(bits.flip_bit("x", k(62))).alias("flipped"), one(bits.set_until("x", F.lit(5))).alias("filled"), one(bits.clear_until("x", F.lit(5))).alias("emptied"),
+                     one(bits.clear("x")).alias("cleared"))
+
+
+WIDE = hyperplanes.planes(DIM, 64, 7)
+SIGNED = f"{E}, s AS (SELECT id, {_bits_sql(WIDE)} AS b FROM e)"
+
+
+@query(f"""WITH {SIGNED}, h AS (SELECT x.id AS i, y.id AS j, hamming(x.b, y.b) AS h FROM s x, s y)
+SELECT i, sum(h)::BIGINT AS distances, min(CASE WHEN i <> j THEN h END)::BIGINT AS nearest, count(*) FILTER (h = 0) AS equal, round(sum(cos(pi() * h / 64)), 6) AS cosines FROM h GROUP BY i""")
+def hamming_matrix(spark, sf_dir):
+    s = with_signature(_vectors(spark, sf_dir), WIDE).select("id", "sig_words")
+    a, b = s.select(F.col("id").alias("i"), F.col("sig_words").alias("a")), s.select(F.col("id").alias("j"), F.col("sig_words").alias("b"))
+    h = a.crossJoin(b).select("i", "j", bits.hamming("a", "b").alias("h"))
+    return h.groupBy("i").agg(F.sum("h").alias("distances"), F.min(F.when(F.col("i") != F.col("j"), F.col("h"))).alias("nearest"),
+                              F.count(F.when(F.col("h") == 0, 1)).alias("equal"), F.round(F.sum(bits.hamming_to_cosine("h", 64)), 6).alias("cosines"))
+
+
+# Order, positions and windows.
+def _placed(spark, sf_dir):
+    s = with_signature(_vectors(spark, sf_dir), SIGNS)
+    return windows.with_position(s, ["sig_key", "id"], windows.signature_part())
+
+
+PLACED = f"{E}, s AS (SELECT id, v, {_bits_sql(SIGNS)} AS bits FROM e), p AS (SELECT *, row_number() OVER (ORDER BY bits, id) - 1 AS pos FROM s)"
+
+
+@query(f"WITH {PLACED} SELECT id, bits, pos FROM p")
+def order_by_signature(spark, sf_dir):
+    return _placed(spark, sf_dir).select("id", bit_string(16).alias("bits"), "pos")
+
+
+@query(f"WITH {PLACED} SELECT (pos // 20)::BIGINT AS block, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY pos) AS ids FROM p GROUP BY 1")
+def block_window(spark, sf_dir):
+    rows = windows.with_block(_placed(spark, sf_dir), 20).groupBy("block").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("all"))
+    return rows.select("block", "n", F.array_join(F.transform("all", lambda x: x["id"]), ",").alias("ids"))
+
+
+@query(f"""WITH {PLACED}, w AS (SELECT k AS "window" FROM range(0, (SELECT count(*) FROM p)) AS r(k) WHERE k = 0 OR (k - 1) * 3 + 5 <= (SELECT max(pos) FROM p))
+SELECT "window", count(*) AS n, sum(pos)::BIGINT AS positions, sum(id)::BIGINT AS ids FROM w JOIN p ON pos >= 3 * "window" AND pos < 3 * "window" + 5 GROUP BY 1""")
+def sliding_window(spark, sf_dir):
+    return windows.sliding(_placed(spark, sf_dir), 5, 3).groupBy("window").agg(F.count("*").alias("n"), F.sum("pos").alias("positions"), F.sum("id").alias("ids"))
+
+
+# Sorted signatures.
+def _blocked_sql(lsh: BlockedLsh) -> str:
+    parts = [
+        f"""SELECT a.id AS i, b.id AS j, list_cosine_similarity(a.v, b.v) AS value FROM p{k} a JOIN p{k} b ON a.block = b.block AND a.id < b.id"""
+        for k in range(lsh.permutations)]
+    tables = [f"p{k} AS (SELECT id, v, (row_number() OVER (ORDER BY {_bits_sql(r)}, id) - 1) // {lsh.block_size} AS block FROM e)" for k, r in enumerate(lsh.rounds(DIM))]
+    union = " UNION ALL ".join(parts)
+    return f"WITH {E}, {', '.join(tables)} SELECT i, j, round(max(value), 6) AS value FROM ({union}) WHERE value >= {lsh.min_similarity} GROUP BY i, j"
+
+
+ONE, MANY = BlockedLsh(LOW, 16, 20, 1), BlockedLsh(LOW, 16, 20, 6)
+
+
+@query(_blocked_sql(ONE))
+def lsh_blocks_1perm(spark, sf_dir):
+    return _rounded(ONE.join(_vectors(spark, sf_dir), DIM))
+
+
+@query(_blocked_sql(MANY))
+def lsh_self_join(spark, sf_dir):
+    return _rounded(MANY.join(_vectors(spark, sf_dir), DIM))
+
+
+# Distinct pairs and top-k.
+DOUBLED = f"{PAIRS}, d AS (SELECT i, j, value FROM pairs WHERE value >= {LOW} UNION ALL SELECT i, j, value / 2 FROM pairs WHERE value >= {LOW})"
+
+
+def _doubled(spark, sf_dir):
+    p = ExactQueryJoin(LOW).join(v := _vectors(spark, sf_dir), v)
+    return p.withColumn("value", F.explode(F.array(F.col("value"), F.col("value") / 2)))
+
+
+@query(f"WITH {DOUBLED} SELECT i, j, round(max(value), 6) AS value FROM d GROUP BY i, j")
+def distinct_pairs(spark, sf_dir):
+    return _rounded(topk.distinct_pairs(_doubled(spark, sf_dir)))
+
+
+@query(f"""WITH {DOUBLED}, g AS (SELECT i, j, max(value) AS value FROM d GROUP BY i, j)
+SELECT i, j, round(value, 6) AS value FROM g QUALIFY row_number() OVER (PARTITION BY i ORDER BY value DESC, j) <= 5""")
+def distinct_top_k(spark, sf_dir):
+    return _rounded(topk.distinct_top_k(_doubled(spark, sf_dir), 5))
+
+
+# Hash buckets.
+SIX = hyperplanes.planes(DIM, 6, 42)
+BUCKETS = f"{E}, s AS (SELECT id, v, {_bits_sql(SIX)} AS bucket FROM e), n AS (SELECT bucket, count(*) AS count FROM s GROUP BY bucket)"
+SPLITS = f"{BUCKETS}, q AS (SELECT quantile_disc(count, 0.95) AS q FROM n), c AS (SELECT bucket, (count // q)::INT + 1 AS salts FROM n, q WHERE count > q)"
+
+
+def _six(spark, sf_dir):
+    return keyed_rounds(_vectors(spark, sf_dir), [SIX]).drop("round")
+
+
+def _splits(rows):
+    return buckets.splits(buckets.sizes(rows, ["sig_key"]), 0.95)
+
+
+@query(f"WITH {BUCKETS} SELECT bucket, count AS n FROM n")
+def bucket_sizes(spark, sf_dir):
+    return buckets.sizes(_six(spark, sf_dir), ["sig_key"]).select(bit_string(6).alias("bucket"), F.col("count").alias("n"))
+
+
+@query(f"WITH {SPLITS} SELECT bucket, salts FROM c")
+def bucket_splits(spark, sf_dir):
+    return _splits(_six(spark, sf_dir)).select(bit_string(6).alias("bucket"), "salts")
+
+
+@query(f"WITH {SPLITS} SELECT id, bucket, unnest(range(0, coalesce(salts, 1)))::INT AS salt FROM s LEFT JOIN c USING (bucket)")
+def replicate_subbuckets(spark, sf_dir):
+    rows = _six(spark, sf_dir)
+    return buckets.replicated(rows, _splits(rows)).select("id", bit_string(6).alias("bucket"), "salt")
+
+
+@query(f"WITH {SPLITS} SELECT bucket, coalesce(salts, 1) AS salts, count(*) AS n FROM s LEFT JOIN c USING (bucket) GROUP BY ALL")
+def salt_queries(spark, sf_dir):
+    rows = _six(spark, sf_dir)
+    s = buckets.salted(rows, _splits(rows), 1).groupBy("sig_key").agg(F.count("*").alias("n"), F.max("salt").alias("top"))
+    return s.join(_splits(rows), "sig_key", "left").where("top < coalesce(salts, 1)").select(bit_string(6).alias("bucket"), F.coalesce("salts", F.lit(1)).alias("salts"), "n")
+
+
+def _flips_sql(id_col: str, d: int, r: int) -> str:
+    return (f"list_concat([-1], list_slice(list_transform(list_sort(list_transform(range(0, {d}), lambda k: md5({id_col}::VARCHAR || ':' || k::VARCHAR) || ':' || k::VARCHAR)), "
+            f"lambda h: split_part(h, ':', 2)::BIGINT), 1, {r}))")
+
+
+def _flipped_sql(bits_sql: str, k: str) -> str:
+    return f"CASE WHEN {k} < 0 THEN {bits_sql} ELSE substr({bits_sql}, 1, {k}) || CASE substr({bits_sql}, {k} + 1, 1) WHEN '1' THEN '0' ELSE '1' END || substr({bits_sql}, {k} + 2) END"
+
+
+@query(f"WITH {BUCKETS}, f AS (SELECT id, bucket, unnest({_flips_sql('id', 6, 2)})::INT AS flip FROM s) SELECT id, flip, {_flipped_sql('bucket', 'flip')} AS bucket FROM f")
+def replicate_bit_flips(spark, sf_dir):
+    return buckets.with_flips(_six(spark, sf_dir), 2, 6).select("id", "flip", bit_string(6).alias("bucket"))
+
+
+@query(f"WITH {BUCKETS}, c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY id) <= 10) SELECT s.id AS i, c.id AS j FROM s JOIN c USING (bucket)")
+def bounded_bucket_join(spark, sf_dir):
+    rows = _six(spark, sf_dir)
+    c = topk.first_per_key(rows, ["sig_key"], ["id"], 10).select("sig_key", F.col("id").alias("j"))
+    return rows.select("sig_key", F.col("id").alias("i")).join(c, "sig_key").select("i", "j")
+
+
+PLAIN = BucketLsh(LOW, 4, 10, 5, 8, salt_percentile=None)
+SALTED = BucketLsh(LOW, 4, 10, 5, 8, salt_percentile=0.5)
+FLIPPED = BucketLsh(LOW, 4, 10, 5, 8, flips=2, salt_percentile=None)
+
+
+def _bucket_sql(lsh: BucketLsh) -> str:
+    tables, parts = [], []
+    for k, r in enumerate(lsh.planes(DIM)):
+        tables.append(f"s{k} AS (SELECT id, v, {_bits_sql(r)} AS b FROM e)")
+        flips = f"unnest({_flips_sql('id', lsh.dimensions, lsh.flips)})" if lsh.flips else "-1"
+        tables.append(f"f{k} AS (SELECT id, v, b, {flips} AS flip FROM s{k})")
+        tables.append(f"c{k} AS (SELECT id, v, {_flipped_sql('b', 'flip')} AS b, flip FROM f{k})")
+        tables.append(f"t{k} AS (SELECT * FROM c{k} QUALIFY row_number() OVER (PARTITION BY b ORDER BY id, flip) <= {lsh.max_candidates})")
+        parts.append(f"SELECT s{k}.id AS i, t{k}.id AS j, list_cosine_similarity(s{k}.v, t{k}.v) AS value FROM s{k} JOIN t{k} USING (b)")
+    union = " UNION ALL ".join(parts)
+    return (f"WITH {E}, {', '.join(tables)}, g AS (SELECT i, j, max(value) AS value FROM ({union}) WHERE value >= {lsh.min_similarity} GROUP BY i, j) "
+            f"SELECT i, j, round(value, 6) AS value FROM g QUALIFY row_number() OVER (PARTITION BY i ORDER BY value DESC, j) <= {lsh.max_matches}")
+
+
+@query(_bucket_sql(PLAIN))
+def query_lsh(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _rounded(PLAIN.join(v, v, DIM))
+
+
+@query(_bucket_sql(SALTED))
+def query_lsh_salted(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _rounded(SALTED.join(v, v, DIM))
+
+
+@query(_bucket_sql(FLIPPED))
+def query_lsh_replicated(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _rounded(FLIPPED.join(v, v, DIM))
+
+
+# Hamming distance.
+def _hamming_sql(per: str) -> str:
+    other = "j" if per == "i" else "i"
+    return (f"WITH {SIGNED}, h AS (SELECT x.id AS i, y.id AS j, cos(pi() * hamming(x.b, y.b) / 64) AS value FROM s x, s y) SELECT i, j, round(value, 6) AS value FROM h "
+            f"WHERE value >= 0.3 QUALIFY row_number() OVER (PARTITION BY {per} ORDER BY value DESC, {other}) <= 5")
+
+
+@query(_hamming_sql("i"))
+def query_hamming(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _rounded(HammingJoin(0.3, 64, 5).join(v, v, DIM))
+
+
+@query(_hamming_sql("j"))
+def query_hamming_catalog_side(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _rounded(HammingJoin(0.3, 64, 5, broadcast="query", limit_per="catalog").join(v, v, DIM))
+
+
+# Text source and report.
+@query("SELECT vec_id AS id, 'w' || vec_id AS word, len(embedding)::INT AS n, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
+def text_source_parse(spark, sf_dir):
+    lines = _vectors(spark, sf_dir).select(F.col("id").alias("at"), F.concat_ws(" ", F.concat(F.lit("w"), "id"), F.array_join(F.col("vector").cast("array<string>"), "  ")).alias("value"))
+    rows = source.numbered(source.parse_text(lines), "at")
+    return rows.select("id", "word", F.size("vector").alias("n"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query(f"""WITH {PAIRS}, best AS (SELECT * FROM pairs WHERE i < j AND value >= {LOW} QUALIFY row_number() OVER (PARTITION BY i ORDER BY value DESC, j) <= 10)
+SELECT 'w' || i AS word, 'w' || i || ' --> ' || string_agg('w' || j, ',' ORDER BY value DESC, j) AS line FROM best GROUP BY i""")
+def top_neighbours_report(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return neighbour_report(ExactSelfJoin(LOW).join(v), v.select("id", F.concat(F.lit("w"), "id").alias("word")))
