@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import chat, embeddings, licences, minhash, mixing, packing, quality, sharding, templates, warc
 from .common import shared_dir
 
@@ -112,3 +114,12 @@ def op6_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), "confirmed_share")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
