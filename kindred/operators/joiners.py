@@ -61,22 +61,31 @@ def _exact(left: DataFrame, right: DataFrame, similarity: Similarity, threshold:
     return tiles.score(tiles.tiles(left), tiles.tiles(right), kernel, PAIRS)
 
 
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Each pair also as (j, i): a self-join gives i < j only, which hides a row's partners of smaller ids."""
+    e = F.explode(F.array(F.struct("i", "j", "value"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "value")))
+    return pairs.select(e.alias("e")).select("e.*")
+
+
 @dataclass(frozen=True)
 class ExactSelfJoin:
     """All pairs i < j of similarity `threshold` or more. With `fraction` under 1 only a sample of rows looks for
-    partners of larger ids among all rows."""
+    partners of larger ids among all rows. The cosine of equal vectors can be an ulp under 1: for a threshold of
+    1 give 1 - 1e-12 or so. `symmetric` gives each pair both ways."""
 
     threshold: float
     similarity: Similarity = COSINE
     fraction: float = 1.0
     seed: int = 0
+    symmetric: bool = False
 
     def join(self, vectors: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
         """`sampled`, if given, are the rows to take as the sample."""
         left = sampled
         if left is None:
             left = vectors if self.fraction >= 1 else vectors.sample(False, self.fraction, self.seed)
-        return _exact(left, vectors, self.similarity, self.threshold, ordered=True)
+        found = _exact(left, vectors, self.similarity, self.threshold, ordered=True)
+        return both_ways(found) if self.symmetric else found
 
 
 @dataclass(frozen=True)
@@ -109,6 +118,7 @@ class BlockedLsh:
     block_size: int
     permutations: int
     seed: int = 42
+    symmetric: bool = False
 
     def rounds(self, features: int) -> list[np.ndarray]:
         r = hyperplanes.planes(features, self.dimensions, self.seed)
@@ -134,7 +144,8 @@ class BlockedLsh:
             return pa.table({"i": ids[a], "j": ids[b], "value": s[a, b]})
 
         found = self.blocks(vectors, features).select("round", "block", "id", "vector").groupBy("round", "block").applyInArrow(pairs, PAIRS)
-        return distinct_pairs(found)
+        found = distinct_pairs(found)
+        return both_ways(found) if self.symmetric else found
 
 
 def _scored(pairs: DataFrame, low: float) -> DataFrame:

@@ -67,6 +67,12 @@ def test_blocked_lsh(spark):
     near(got, {(0, 1): 3 / math.sqrt(10), (0, 2): 1 / math.sqrt(42), (1, 2): 2 / math.sqrt(105)})
 
 
+def test_symmetric(cloud):
+    for joiner in (ExactSelfJoin, lambda t, symmetric: BlockedLsh(t, 16, 12, 3, symmetric=symmetric)):
+        one, two = (pairs(joiner(0.5, symmetric=s).join(cloud)) for s in (False, True))
+        assert two == one | {(j, i): v for (i, j), v in one.items()} and len(two) == 2 * len(one)
+
+
 def test_bucket_lsh_finds_itself(spark):
     df = table(spark, THREE)
     assert set(pairs(BucketLsh(-1.0, 100, 10, 1000, 10).join(df, df))) == {(0, 0), (1, 1), (2, 2)}
