@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from kindred.llm import packing
 
 PATH = packing.tokenizer_path()
-PLAIN, ENCODER = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+PLAIN, ENCODER = Tokenizer.from_file(PATH), packing.Encoder(PATH, packing.tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def ids(text):
@@ -20,14 +20,22 @@ def ids(text):
 
 @settings(max_examples=500, deadline=None)
 @given(st.text(alphabet="ab'sé 中1!  \n\t \x1c\x85 ​", max_size=40))
-def test_word_by_word_is_the_same(text):
-    assert ENCODER.encode([text])[0].tolist() == ids(text)[:-1]
+def test_both_libraries_agree(text):
+    assert ENCODER.encode(text).tolist() == ids(text)[:-1]
 
 
 @given(st.lists(st.sampled_from(["it's", " ", "  ", "<|endoftext|>", "'ll", "\n", " x", "　"]), max_size=12))
 def test_odd_joints(parts):
     text = "".join(parts)
-    assert ENCODER.encode([text])[0].tolist() == ids(text)[:-1]
+    assert ENCODER.encode(text).tolist() == ids(text)[:-1]
+
+
+def test_all_letters_and_long_runs():
+    for c in [*range(0x3000), *range(0xF900, 0x10400), *range(0x1F300, 0x1F700)]:
+        text = f"a{chr(c)}b {chr(c)}1 \n{chr(c)} {chr(c)}x{chr(c)}{chr(c)}"
+        assert ENCODER.encode(text).tolist() == ids(text)[:-1]
+    for text in (" " * 60_000 + "a", "x" * 60_000, "\n " * 30_000 + "b"):
+        assert ENCODER.encode(text).tolist() == ids(text)[:-1]
 
 
 @pytest.fixture(scope="module")
