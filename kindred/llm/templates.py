@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import cut
 
 #: The tree's depth: below the number of tokens come so many leading tokens.
 LEADING = 3
@@ -15,33 +15,49 @@ LEAST_TOKENS = 3
 LONG, DOCS_SHORT, DOCS_LONG = 8, 5, 3
 #: A place is a field unless one token has this share of the leaf there.
 CONSTANT = 0.9
-#: A line belongs to its leaf's template if so many of the tokens behind the leading ones are the template's.
-ALIKE = 0.6
-#: Tables of at most so many rows of some 24 bytes are broadcast; larger ones are joined by a shuffle.
-MOST_BROADCAST = 200_000
+#: A line belongs to its leaf's template if this share, and number, of the tokens behind the leading ones are the template's.
+ALIKE, LEAST_ALIKE = 0.6, 3
+#: The filter of leaves: so many bits in parts of 4 KB, one megabyte in all.
+FILTER, PART = 1 << 23, 1 << 15
 
 _IN, _OUT = "[^\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D0-9@]"
-#: A token that holds a digit or an at sign. Tried at the start of each token only, and never twice.
-FIELD = f"(?<!{_IN}){_OUT}*+[0-9@]{_IN}*+"
+#: A token that holds a digit or an at sign, with what stands before it. No part of a token is tried twice.
+FIELD = f"(^|[\\x20\\x09-\\x0D]){_OUT}*+[0-9@]{_IN}*+"
+#: White space within a line that is not one space.
+WIDE = "\\x20[\\x20\\x09\\x0B-\\x0D]+|[\\x09\\x0B-\\x0D][\\x20\\x09\\x0B-\\x0D]*"
+#: What lines hold that either of them changes: most lines have nothing of it.
+ODD = "[0-9@\\x09\\x0B-\\x0D]|\\x20\\x20"
 
 
-def masked(line: Column) -> Column:
-    """The line with its variable tokens as <*>, and single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, FIELD, "<*>"), SPACE, " "))
+def _masked(line: Column) -> Column:
+    changed = F.regexp_replace(F.regexp_replace(line, FIELD, "$1<*>"), WIDE, " ")
+    return F.trim(F.when(F.rlike(line, F.lit(ODD)), changed).otherwise(line))
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    """Adds to masked lines their tokens, number, leaf and hash; short ones go."""
-    df = df.withColumn("tokens", F.split("line", " ")).withColumn("n", F.size("tokens")).where(F.col("n") >= LEAST_TOKENS)
-    return df.withColumns({"leaf": F.xxhash64(F.col("n"), F.slice("tokens", 1, LEADING)), "hash": F.xxhash64("line")})
+def _lines(docs: DataFrame) -> DataFrame:
+    """A row per line of LEAST_TOKENS or more: id, place, line with its fields as <*>, tokens, leaf and hash.
+
+    Lines are masked and counted within the array that is exploded: there, each is once.
+    """
+    n = F.octet_length  # of one-byte spaces
+    counted = lambda x: F.struct(x.alias("line"), (n(x) - n(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"))
+    rows = docs.select("id", F.posexplode(F.transform(F.transform(F.split("text", "\n"), _masked), counted)).alias("place", "of"))
+    return rows.select("id", "place", "of.*").where(F.col("n") >= LEAST_TOKENS).withColumns(
+        {"leaf": F.xxhash64("n", F.substring_index("line", " ", LEADING)), "hash": F.xxhash64("line")})
 
 
 def _needed() -> Column:
     return F.when(F.col("n") < LONG, DOCS_SHORT).otherwise(DOCS_LONG)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+def _filtered(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Rows whose leaf may be among the leaves: by a bitmap of hashes of fixed size, so that most rows need no shuffle."""
+    slot = F.pmod(F.col("leaf"), F.lit(FILTER))
+    parts = leaves.select((slot / PART).cast("int").alias("part"), (slot % PART).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bitmap = parts.agg(F.map_from_entries(F.collect_list(F.struct("part", "bits"))).alias("bitmap"))
+    bits = F.coalesce(F.try_element_at("bitmap", (slot / PART).cast("int")), F.lit(b""))
+    byte = F.conv(F.hex(F.substring(bits, (slot % PART / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.crossJoin(F.broadcast(bitmap)).where(F.coalesce(F.call_function("getbit", byte, (slot % 8).cast("int")), F.lit(0)) == 1).drop("bitmap")
 
 
 def _varied(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -51,11 +67,10 @@ def _varied(docs: DataFrame, lines: DataFrame) -> DataFrame:
     once, in the first document that has it. Tokens are counted by leaf and place, weighted by documents.
     """
     leaves = lines.groupBy("leaf", "n").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds"))
-    wanted = cut(lines.join(leaves.where((F.col("kinds") > 1) & (F.col("all") >= _needed()) & (F.col("n") > LEADING)), ["leaf", "n"])
-                 .select("leaf", "hash", F.col("first").alias("id"), "docs"))
-    some = docs.join(_small(wanted.select("id").distinct()), "id", "left_semi")
-    spelled = _keyed(some.select("id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), masked))).alias("line")))
-    spelled = cut(spelled.join(wanted, ["id", "leaf", "hash"]).dropDuplicates(["leaf", "hash"]).select("leaf", "hash", "n", "id", "docs", "tokens"))
+    leaves = cut(leaves.where((F.col("kinds") > 1) & (F.col("all") >= _needed()) & (F.col("n") >= LEADING + LEAST_ALIKE)).select("leaf", "n"))
+    wanted = lines.join(leaves, ["leaf", "n"]).select("leaf", "hash", F.col("first").alias("id"), "docs")
+    spelled = _filtered(_lines(docs), leaves).join(wanted, ["id", "leaf", "hash"]).dropDuplicates(["leaf", "hash"])
+    spelled = cut(spelled.select("leaf", "hash", "n", "id", "docs", F.split("line", " ").alias("tokens")))
     placed = spelled.select("leaf", "docs", F.posexplode("tokens").alias("place", "token"))
     counts = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"))
     places = counts.groupBy("leaf", "place").agg(F.max(F.struct("docs", "token")).alias("top"), F.sum("docs").alias("all"))
@@ -64,7 +79,7 @@ def _varied(docs: DataFrame, lines: DataFrame) -> DataFrame:
     template = template.select("leaf", F.transform("p", lambda x: x["token"]).alias("template"))
     hits = F.aggregate(F.zip_with("tokens", "template", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
     # The leading tokens are the leaf's, so all of them are hits.
-    alike = spelled.join(template, "leaf").where(hits - LEADING >= F.greatest(ALIKE * (F.col("n") - LEADING), F.lit(3)))
+    alike = spelled.join(template, "leaf").where(hits - LEADING >= F.greatest(ALIKE * (F.col("n") - LEADING), F.lit(LEAST_ALIKE)))
     alike = cut(alike.select("leaf", "hash", "n", "id", "docs"))
     found = alike.groupBy("leaf", "n").agg(F.sum("docs").alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= _needed())
     return alike.select("leaf", "hash").join(found.select("leaf", "first"), "leaf")
@@ -79,26 +94,22 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     documents (DOCS_LONG if it is long) recurs: its lines go from all documents but the first, the one of the
     smallest id, so that nothing is lost everywhere. Lines are cut at line ends; what stays is unchanged.
 
-    What is shuffled are hashes: a line is its leaf, its hash, and the documents counted. Texts move only to lose
-    lines, and not even then if the table of lines to drop is small enough to be broadcast.
+    Lines are shuffled as hashes, a leaf and the line's own. Texts move once, to lose lines; and of leaves with
+    several spellings, the lines.
 
-    Nulls: a null text has no lines (n_lines 0) and stays null; rows of null id count, and keep their lines.
-    Ids are unique over different texts; repeated rows count each and lose the same lines. Documents that lose
+    Nulls: a null text has no lines (n_lines 0) and stays null; rows of null id count as one
+    document and keep their lines. Ids are unique over different texts; repeated rows count once and lose the same lines. Documents that lose
     all lines stay, with an empty text. An empty table gives no rows. Other columns are carried, whatever their
     names.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    each = docs.select("id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), masked))).alias("line"))
-    lines = cut(_keyed(each).groupBy("leaf", "hash", "n").agg(F.count("*").alias("docs"), F.min("id").alias("first")))
+    index = cut(_lines(docs).select("id", "place", "n", "leaf", "hash"))
+    lines = cut(index.select("leaf", "hash", "n", "id").distinct().groupBy("leaf", "hash", "n").agg(F.count("*").alias("docs"), F.min("id").alias("first")))
     alone = lines.where(F.col("docs") >= _needed()).select("leaf", "hash", "first")
     recurring = alone.unionByName(_varied(docs, lines)).groupBy("leaf", "hash").agg(F.min("first").alias("first")).where("first IS NOT NULL")
-    recurring = cut(recurring)
-    places = docs.where("id IS NOT NULL").select("id", F.posexplode(F.split("text", "\n")).alias("place", "line")).withColumn("line", masked(F.col("line")))
-    gone = _keyed(places).join(_small(recurring), ["leaf", "hash"]).where("id <> first").select("id", "place")
-    gone = cut(gone.distinct().groupBy("id").agg(F.collect_list("place").alias("places"))).select(F.col("id").alias("__id"), F.col("places").alias("__places"))
-    small = gone.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("__places")), F.lit(0)).alias("all")).first()
-    held = F.broadcast(gone) if max(small["n"], small["all"]) <= MOST_BROADCAST else gone
-    out = df.join(held, df[id_col] == held["__id"], "left")
+    gone = index.join(recurring, ["leaf", "hash"]).where("id <> first").select("id", "place").distinct()
+    held = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_list("place").alias("__places"))
+    out = df.join(held, F.col(id_col) == F.col("__id"), "left")
     split = F.split(df[text_col], "\n")
     left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__places", i)), "\n")
     n = F.coalesce(F.size("__places"), F.lit(0))

@@ -18,7 +18,7 @@ def need(n):
 def plain(rows):
     """What stays of each text, line by line."""
     docs, first = Counter(), {}
-    for i, t in rows:
+    for i, t in {i: (i, t) for i, t in rows}.values():
         for m in {mask(x) for x in (t or "").split("\n")} if t is not None else ():
             docs[m] += 1
             if i is not None:
@@ -52,9 +52,9 @@ def plain(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
-def test_equals_line_by_line(spark, monkeypatch, most):
-    monkeypatch.setattr(T, "MOST_BROADCAST", most)
+@pytest.mark.parametrize("bits", [T.FILTER, T.PART])
+def test_equals_line_by_line(spark, monkeypatch, bits):
+    monkeypatch.setattr(T, "FILTER", bits)
     rng = random.Random(2)
     word = lambda: f"{rng.choice('abcdefghij')}{rng.choice('klmnop')}"
     common = [" ".join(word() for _ in range(rng.choice([1, 2, 3, 5, 9, 60]))) for _ in range(12)]
