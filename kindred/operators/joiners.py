@@ -127,7 +127,7 @@ class BlockedLsh:
     def blocks(self, vectors: DataFrame, features: int | None = None) -> DataFrame:
         if self.permutations < 1:
             raise ValueError("at least one permutation is needed")
-        keyed = keyed_rounds(vectors, self.rounds(features or _features(vectors)))
+        keyed = keyed_rounds(vectors, self.rounds(features or _features(vectors)), vectors=False)
         placed = with_position(keyed, ["sig_key", "id"], signature_part(), ["round"])
         return with_block(placed, self.block_size)
 
@@ -143,7 +143,9 @@ class BlockedLsh:
                 a, b = np.nonzero((s >= low) & (ids[:, None] < ids[None, :]))
             return pa.table({"i": ids[a], "j": ids[b], "value": s[a, b]})
 
-        found = self.blocks(vectors, features).select("round", "block", "id", "vector").groupBy("round", "block").applyInArrow(pairs, PAIRS)
+        where = self.blocks(vectors, features).groupBy("id").agg(F.collect_list(F.struct("round", "block")).alias("where"))
+        rows = vectors.select("id", "vector").join(where, "id").select("id", "vector", F.explode("where").alias("at")).select("at.*", "id", "vector")
+        found = rows.groupBy("round", "block").applyInArrow(pairs, PAIRS)
         found = distinct_pairs(found)
         return both_ways(found) if self.symmetric else found
 

@@ -65,17 +65,21 @@ def with_signature_sql(df: DataFrame, r: np.ndarray) -> DataFrame:
     return df.withColumn("bits", F.array_join(F.transform(planes, lambda p: F.when((side(p) > 0) & ~F.isnan(side(p)), "1").otherwise("0")), ""))
 
 
-def keyed_rounds(df: DataFrame, rounds: list[np.ndarray]) -> DataFrame:
-    """A row (round, id, vector, sig_key) for each row and each set of planes. Permuted planes give permuted bits."""
+def keyed_rounds(df: DataFrame, rounds: list[np.ndarray], vectors: bool = True) -> DataFrame:
+    """A row (round, id, vector, sig_key) for each row and each set of planes. Permuted planes give permuted bits.
+
+    Without `vectors` that column is left out: rows that are only to be sorted should be narrow.
+    """
+    names = ["round", "id", *["vector"] * vectors, "sig_key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column("vector"), rounds[0].shape[0])
+            own = [batch.column("vector")] * vectors
             for k, r in enumerate(rounds):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), batch.column("id"), batch.column("vector"), _keys(positive(x, r))],
-                                                 names=["round", "id", "vector", "sig_key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), batch.column("id"), *own, _keys(positive(x, r))], names=names)
 
-    return df.select("id", "vector").mapInArrow(run, "round int, id long, vector array<double>, sig_key binary")
+    return df.select("id", "vector").mapInArrow(run, f"round int, id long,{' vector array<double>,' * vectors} sig_key binary")
 
 
 def bit_string(bits: int, key: str = "sig_key"):
