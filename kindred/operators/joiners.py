@@ -110,7 +110,8 @@ class BlockedLsh:
 
     The bits of one signature are put into another order `permutations` times; each time the signatures are
     sorted and cut into blocks of `block_size`, and the pairs of each block are scored by cosine. All
-    permutations are one plan: a row per permutation and vector. Blocks are bounded, so a task holds few rows.
+    permutations are one plan. What is sorted are ids and signatures; the vectors are joined to their blocks'
+    numbers once, by id, and then go to the blocks. Blocks are bounded, so a task holds few rows. Ids are unique.
     """
 
     min_similarity: float
