@@ -20,6 +20,8 @@ K = 64
 SHORT = 32
 #: The most frequent values are looked for first to be listed last. Others count as rare, whatever their number.
 FREQUENT = 1 << 16
+#: The bitmap of values that several rows list: so many bits, 2 MB, made in parts of 4 KB.
+FILTER, PART = 1 << 24, 1 << 15
 
 
 def common_needed(kept: int, k: int = K, similarity: float = 0.85) -> int:
@@ -74,15 +76,29 @@ def frequent(df: DataFrame, values: str, least: int) -> tuple[np.ndarray, np.nda
     return np.array([r.x for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
 
 
-def _listed(spark: SparkSession, order: tuple[np.ndarray, np.ndarray], prefix) -> callable:
+LISTED = "x long, v long, n long, pos long"
+
+
+def met(lists: DataFrame) -> np.ndarray:
+    """A bitmap of hashes of the values in `lists`; of fixed size, so that it can go to all tasks."""
+    slot = F.pmod("x", F.lit(FILTER))
+    parts = lists.select((slot / PART).cast("int").alias("part"), (slot % PART).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bits = np.zeros((FILTER // PART, PART // 8), np.uint8)
+    for r in parts.collect():
+        bits[r.part] = np.frombuffer(r.bits, np.uint8)
+    return bits.ravel()
+
+
+def _listed(spark: SparkSession, order: tuple[np.ndarray, np.ndarray], prefix, only: np.ndarray | None = None) -> callable:
     """The first values of each row in the order rare to frequent: (x, v, n, pos), pos counting from 0.
 
     Two sets that share c values of m share one of the first m - c + 1, in any order that is the same for all.
+    With `only`, values that are not in the bitmap are left out: no other row lists them.
     """
-    held = spark.sparkContext.broadcast(order)
+    held = spark.sparkContext.broadcast((*order, only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = held.value
+        known, counts, bits = held.value
         for batch in batches:
             vs, ns, lists = batch.columns
             for i in range(0, len(vs), 1000):
@@ -96,9 +112,13 @@ def _listed(spark: SparkSession, order: tuple[np.ndarray, np.ndarray], prefix) -
                     out.append(x[np.lexsort((x, often))][: prefix(len(x))])
                 size = np.array([len(x) for x in out])
                 row = np.repeat(np.arange(len(out)), size)
-                pos = np.concatenate([np.arange(s) for s in size]) if len(out) else []
+                pos, x = np.concatenate([np.arange(s) for s in size]), np.concatenate(out)
+                if bits is not None:
+                    slot = x % FILTER
+                    has = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                    row, pos, x = row[has], pos[has], x[has]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out)), vs[i : i + 1000].take(pa.array(row)), ns[i : i + 1000].take(pa.array(row)), pa.array(pos, pa.int64())],
+                    [pa.array(x), vs[i : i + 1000].take(pa.array(row)), ns[i : i + 1000].take(pa.array(row)), pa.array(pos, pa.int64())],
                     names=["x", "v", "n", "pos"])
 
     return run
@@ -154,9 +174,10 @@ class NearDuplicates:
         spark, t = self.spark, self.percent / 100
         listed = self.classes.select("v", "n", F.col("sketch").alias("items"))
         order = frequent(listed, "items", 8)
-        listed = listed.mapInArrow(_listed(spark, order, lambda m: m - common_needed(m, K, t) + 1), "x long, v long, n long, pos long")
-        lists = listed.groupBy("x").count().where("count > 1")
-        entries = cut(listed.join(lists, "x").select("x", "v", "n", "count"))
+        prefix = lambda m: m - common_needed(m, K, t) + 1
+        lists = cut(listed.mapInArrow(_listed(spark, order, prefix), LISTED).groupBy("x").count().where("count > 1"))
+        entries = listed.mapInArrow(_listed(spark, order, prefix, met(lists)), LISTED).select("x", "v", "n")
+        entries = cut(entries.join(lists, "x").select("x", "v", "n", "count"))
         long = entries.where(f"count > {SHORT}").select("v").distinct()
         sizes = f"100 * a.n >= {self.percent} * b.n AND 100 * b.n >= {self.percent} * a.n"
         pairs = _pairs(entries.where(f"count <= {SHORT}").drop("count"), sizes).distinct()
@@ -193,7 +214,8 @@ class NearDuplicates:
         sets = self.sets.join(long, "v", "left_semi").select("v", F.size("items").cast("long").alias("n"), "items")
         order = frequent(sets, "items", 3)
         prefix = lambda m: m - -(-t * m // 100) + 1
-        entries = cut(sets.mapInArrow(_listed(spark, order, prefix), "x long, v long, n long, pos long"))
+        lists = sets.mapInArrow(_listed(spark, order, prefix), LISTED).groupBy("x").count().where("count > 1")
+        entries = cut(sets.mapInArrow(_listed(spark, order, prefix, met(lists)), LISTED))
         # The largest size that an entry can reach; where that is below its list's least size, it goes.
         reach = F.floor((F.col("n") - F.col("pos")) * (100 + t) / F.lit(t) - F.col("n"))
         for _ in range(2):
