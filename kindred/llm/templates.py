@@ -76,7 +76,7 @@ def _varied(docs: DataFrame, lines: DataFrame) -> DataFrame:
     places = counts.groupBy("leaf", "place").agg(F.max(F.struct("docs", "token")).alias("top"), F.sum("docs").alias("all"))
     fixed = F.when(F.col("top.docs") >= CONSTANT * F.col("all"), F.col("top.token"))
     template = places.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", fixed.alias("token")))).alias("p"))
-    template = template.select("leaf", F.transform("p", lambda x: x["token"]).alias("template"))
+    template = cut(template.select("leaf", F.transform("p", lambda x: x["token"]).alias("template")))  # a plain join can be split
     hits = F.aggregate(F.zip_with("tokens", "template", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
     # The leading tokens are the leaf's, so all of them are hits.
     alike = spelled.join(template, "leaf").where(hits - LEADING >= F.greatest(ALIKE * (F.col("n") - LEADING), F.lit(LEAST_ALIKE)))
