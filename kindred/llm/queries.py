@@ -110,6 +110,50 @@ def op6_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.octet_length(kept).cast("long").alias("kept_bytes"), F.md5(kept).alias("kept_md5"))
 
 
+ORACLES["op6_template_tree"] = r"""
+WITH s AS (
+  SELECT doc_id, string_split(text, chr(10)) AS s FROM documents
+), l AS (
+  SELECT doc_id, generate_subscripts(s, 1) AS place, unnest(s) AS line FROM s
+), m AS (
+  SELECT *, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''),
+    lambda x: CASE WHEN regexp_matches(x, '[0-9@]') THEN '<*>' ELSE x END) AS t
+  FROM l
+), d AS (
+  SELECT t, len(t) AS n, CASE WHEN len(t) < 8 THEN 5 ELSE 3 END AS need, count(DISTINCT doc_id) AS docs, min(doc_id) AS first
+  FROM m WHERE len(t) >= 3 GROUP BY t
+), v AS (
+  SELECT *, t[1:3] AS lead, sum(docs) OVER leaf AS together, count(*) OVER leaf AS kinds FROM d WINDOW leaf AS (PARTITION BY n, t[1:3])
+), w AS (
+  SELECT row_number() OVER () AS k, * FROM v WHERE n >= 6 AND kinds > 1 AND together >= need
+), tokens AS (
+  SELECT k, n, lead, docs, generate_subscripts(t, 1) AS place, unnest(t) AS token FROM w
+), counts AS (
+  SELECT n, lead, place, token, sum(docs)::BIGINT AS docs FROM tokens GROUP BY ALL
+), places AS (
+  SELECT n, lead, place, max({'docs': docs, 'token': token}) AS top, sum(docs)::BIGINT AS together FROM counts GROUP BY ALL
+), hits AS (
+  SELECT k, count(*) FILTER (token = top.token AND top.docs >= 0.9::DOUBLE * places.together) AS hits
+  FROM tokens JOIN places USING (n, lead, place) GROUP BY k
+), alike AS (
+  SELECT w.* FROM w JOIN hits USING (k) WHERE hits - 3 >= greatest(0.6::DOUBLE * (n - 3), 3)
+), found AS (
+  SELECT n, lead, min(first) AS first FROM alike GROUP BY n, lead, need HAVING sum(docs) >= need
+), gone AS (
+  SELECT t, min(first) AS first FROM (
+    SELECT t, first FROM d WHERE docs >= need UNION ALL SELECT alike.t, found.first FROM alike JOIN found USING (n, lead)
+  ) GROUP BY t
+), marked AS (
+  SELECT m.doc_id, m.place, m.line, coalesce(m.doc_id <> gone.first, false) AS dropped FROM m LEFT JOIN gone USING (t)
+), kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '') AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, n_lines, n_dropped, strlen(kept) AS kept_bytes, md5(kept) AS kept_md5 FROM kept
+"""
+
+
 @query
 def op1_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(table(spark, sf_dir, "documents"))
@@ -123,3 +167,39 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+ORACLES["op3_segment_reassembly"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to, NULL::VARCHAR AS error
+FROM f
+"""
+
+ORACLES["op10_bottom_k"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM documents
+  UNION
+  SELECT reach.v, ways.b FROM reach JOIN ways ON ways.a = reach.r
+)
+SELECT v AS doc_id, any_value(coalesce(n, 0))::BIGINT AS n_shingles, min(r) AS component_id, v = min(r) AS kept
+FROM reach LEFT JOIN n ON n.doc_id = v GROUP BY v
+"""
