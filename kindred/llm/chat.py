@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import keep
 
 #: Turns that a window numbers together; longer conversations are numbered part by part.
 PART = 512
@@ -60,7 +60,7 @@ def collapse(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     "user" and a null text as nothing, but neither equals an empty one. Turns of equal number are ordered by role
     and text. Other columns are not read. An empty table gives no rows.
     """
-    placed = cut(turns(df, conv_col, turn_col, role_col, text_col))
+    placed = keep(turns(df, conv_col, turn_col, role_col, text_col))
     ends = placed.groupBy("conv").agg(F.max(F.struct("place", "h1", "h2")).alias("e")).select("conv", "e.*")
     heads = ends.groupBy("place", "h1", "h2").agg(F.min_by("conv", F.struct(F.col("conv").isNull(), "conv")).alias("conv"), F.count("*").alias("copies"))
     last = ends.select(F.col("conv").alias("c"), F.col("place").alias("end"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """df, kept on the executors' disks when it is first computed, since several steps read it.
+
+    What an executor takes with it is computed again from what df is made of. So this is for a first pass over the
+    input, whose rows are always the same, and cut() for all that follows. It stays until the session ends or
+    spark.catalog.clearCache().
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an edge list, as (node, root): root is the smallest node of its component.
 

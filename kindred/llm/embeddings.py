@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, cut
+from .common import connected, cut, keep
 
 PROJECTIONS, SEED = 16, 7
 #: Vectors in a block at most, and pairs of blocks in a task.
@@ -197,7 +197,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     kind = np.dtype(np.float32 if dict(df.dtypes)[vector_col] == "array<float>" else np.float64)
     given = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"))
     rows = given.mapInArrow(_prepared(kind), "vec_id long, label long, dim int, digest binary, vec binary, at double")
-    rows = cut(rows.withColumn("links", F.col("digest").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()))
+    rows = keep(rows.withColumn("links", F.col("digest").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()))
     classes = cut(rows.where("links").groupBy("label", "dim", "digest")
                   .agg(F.min(F.struct("vec_id", "at", "vec")).alias("m"), F.count("*").alias("copies"))
                   .select("label", "dim", "digest", F.col("m.at").alias("at"), F.col("m.vec_id").alias("v"), "copies", F.col("m.vec").alias("vec")))

@@ -166,7 +166,10 @@ def learned(rows: tuple[tuple[str, bool, tuple[str, ...]], ...]) -> tuple[list[t
     held = np.array([h for _, h, _ in rows])
     a, t = x[~held], y[~held]
     l1, l2 = PENALTY * L1_SHARE, PENALTY * (1 - L1_SHARE)
-    step = 1 / (0.5 * np.linalg.norm(a, 2) ** 2 / len(a) + l2)
+    top = np.ones(x.shape[1])
+    for _ in range(30):
+        top = a.T @ (a @ (top / np.linalg.norm(top)))
+    step = 1 / (0.5 * 1.05 * np.linalg.norm(top) / len(a) + l2)
 
     def chances(w, rows):
         z = rows @ w

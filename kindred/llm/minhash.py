@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected, cut
+from .common import connected, cut, keep
 from .words import shingles
 
 #: Values that a sketch retains.
@@ -157,7 +157,7 @@ class NearDuplicates:
         self.percent, self.width = percent, width
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.rows = cut(self.docs.mapInArrow(_sketch(width, K), "doc_id long, n long, digest binary, sketch array<long>"))
+        self.rows = keep(self.docs.mapInArrow(_sketch(width, K), "doc_id long, n long, digest binary, sketch array<long>"))
         self.classes = cut(
             self.rows.where("doc_id IS NOT NULL AND n > 0").groupBy("digest")
             .agg(F.min(F.struct("doc_id", "n", "sketch")).alias("r"))
@@ -219,7 +219,8 @@ class NearDuplicates:
         # The largest size that an entry can reach; where that is below its list's least size, it goes.
         reach = F.floor((F.col("n") - F.col("pos")) * (100 + t) / F.lit(t) - F.col("n"))
         for _ in range(2):
-            lists = entries.groupBy("x").agg(F.count("*").alias("count"), F.min("n").alias("lo"), F.max(reach).alias("hi")).where("count > 1")
+            # Kept before the join, whose long lists can then be split.
+            lists = cut(entries.groupBy("x").agg(F.count("*").alias("count"), F.min("n").alias("lo"), F.max(reach).alias("hi")).where("count > 1"))
             entries = cut(entries.join(lists, "x").where((reach >= F.col("lo")) & (F.col("n") <= F.col("hi"))).select("x", "v", "n", "pos"))
         lists = cut(entries.groupBy("x").agg(
             F.count("*").alias("count"), F.min(F.struct((F.col("pos") / F.col("n")).alias("at"), "n", "pos", "v")).alias("c")).where("count > 1"))
@@ -231,7 +232,7 @@ class NearDuplicates:
         roots = connected(links, "u", "v")
         rest = cut(rest.drop("c").join(roots.withColumnRenamed("node", "v"), "v", "left").select("x", "v", "n", "pos", F.coalesce("root", "v").alias("root")))
         parts = rest.groupBy("x", "root").count().groupBy("x").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("parts"))
-        most = parts.where("parts > 1").select("x", F.col("m.root").alias("most"))
+        most = cut(parts.where("parts > 1").select("x", F.col("m.root").alias("most")))
         apart = rest.join(most, "x")
         a, b = apart.where("root <> most").alias("a"), apart.alias("b")
         pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & F.expr(f"a.root <> b.root AND {self._reach()}"))

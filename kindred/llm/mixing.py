@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACE, cut
+from .common import SPACE, cut, keep
 
 #: A source's ranks are cut into buckets of about BUCKET documents, and into MOST_BUCKETS at most. Only the
 #: bucket in which the source's target falls is gone through one by one.
@@ -83,7 +83,7 @@ class Mix:
         self.columns = (id_col, text_col, source_col)
         self.most, self.seed = most, seed
         rows = self._ranked(docs).select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), "size", "key", "u")
-        self.rows = cut(rows)
+        self.rows = keep(rows)
         sources = self.rows.groupBy("source").agg(F.sum("size").cast("double").alias("size"), F.count("*").alias("n"))
         ratio = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)
         s = targets(sources, weights, most).withColumnRenamed("size", "source_size")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, keep
 
 WINDOW = 1024
 #: Tails per shard of the index: what a task holds and searches at once.
@@ -241,7 +241,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """Where each document's ids go: a row per piece, with the sequence and the offset in it.
 
     1. One pass encodes every text; an id 0 ends each document. What fills windows by itself is cut off as
-       sequences of their own; the tails, shorter than a window, go on with their ids. The result is cut.
+       sequences of their own; the tails, shorter than a window, go on with their ids. The result is kept.
     2. Document frequencies of all tails; there are as many as the vocabulary has ids, so they are collected
        and broadcast.
     3. Tails are dealt by range of their rarest shared term and id, so that a group of copies is split like any
@@ -257,7 +257,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         path, ranks = tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken")
     dtype = Encoder(path).dtype
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = cut(docs.mapInArrow(_pieces(path, ranks), PIECES))
+    pieces = keep(docs.mapInArrow(_pieces(path, ranks), PIECES))
     tails = pieces.where("ids IS NOT NULL").select("doc_id", "start", "doc_tokens", "length", "ids")
     size = tails.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean")).first()
     counts = tails.select("ids").mapInArrow(_counted(dtype), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import keep
 from .words import hashes, windows
 
 # Frequent function words of each language.
@@ -118,7 +118,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     References: for each language with a list of common words, the mean histogram of all its documents that
     pass the base rules and are long enough, each document weighing the same; all other documents share one
     reference. So there are five at most, whatever the table holds, and they are broadcast. The texts are read
-    once; the references come from the table of histograms, which is cut.
+    once; the references come from the table of histograms, which is kept.
 
     Nulls: a null text has no words, so base_failed; a null or unknown language uses the shared reference; ids
     are carried as they are. Texts under the guards have a null distance and are judged by the base rules
@@ -127,7 +127,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                      F.col(lang_col).cast("string").alias("lang"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    seen = cut(docs.mapInArrow(_profile, PROFILE)).withColumns(
+    seen = keep(docs.mapInArrow(_profile, PROFILE)).withColumns(
         {"base_failed": failed, "chars": _shares("chars"), "words": _shares("words")})
     fit = seen.where(~F.col("base_failed") & (F.col("n_words") >= MIN_WORDS_WORDS))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import keep
 
 #: The shards' parts within which rows are numbered; the table of their sizes has shards * PARTS rows at most.
 PARTS = 256
@@ -62,7 +62,7 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
         jump(F.col(id_col), shards).alias("at"),
     ).select("doc_id", "size", "text_crc32", F.col("at.shard").alias("shard"), F.col("at.grown").alias("grown_shard"),
              F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(PARTS)).cast("int").alias("part"))
-    rows = cut(rows)  # some 40 bytes a row; the texts are read once
+    rows = keep(rows)  # some 40 bytes a row; the texts are read once
     before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = rows.groupBy("shard", "part").count().select(
         "shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))

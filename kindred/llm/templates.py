@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, keep
 
 #: The tree's depth: below the number of tokens come so many leading tokens.
 LEADING = 3
@@ -103,7 +103,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     names.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    index = cut(_lines(docs).select("id", "place", "n", "leaf", "hash"))
+    index = keep(_lines(docs).select("id", "place", "n", "leaf", "hash"))
     lines = cut(index.select("leaf", "hash", "n", "id").distinct().groupBy("leaf", "hash", "n").agg(F.count("*").alias("docs"), F.min("id").alias("first")))
     alone = lines.where(F.col("docs") >= _needed()).select("leaf", "hash", "first")
     recurring = alone.unionByName(_varied(docs, lines)).groupBy("leaf", "hash").agg(F.min("first").alias("first")).where("first IS NOT NULL")
