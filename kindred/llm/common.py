@@ -30,13 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """df, kept on the executors' disks when it is first computed, since several steps read it.
+    """Computes df once onto the executors' disks, since several steps read it.
 
     What an executor takes with it is computed again from what df is made of. So this is for a first pass over the
     input, whose rows are always the same, and cut() for all that follows. It stays until the session ends or
     spark.catalog.clearCache().
     """
-    return df.persist(StorageLevel.DISK_ONLY)
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()  # else steps that run at once each begin to compute it
+    return df
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
