@@ -6,6 +6,7 @@ import base64
 import os
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 from .common import cut, keep
 
 WINDOW = 1024
-#: Tails per shard of the index: what a task holds and searches at once.
-SHARD = 2000
-#: A seed's terms that are looked up, the rarest first.
-TERMS = 16
+#: Documents per shard of the index, shards that a task queries in turn, and seeds that are scored at once.
+SHARD, TURNS, SEEDS = 2048, 8, 512
+#: Neighbours that each document keeps of all shards.
+NEAR = 32
+#: Terms in more than this share of the documents are scored by a matrix product, others by postings.
+COMMON = 0.05
 K1, B = 1.2, 0.75
 #: Longer runs of white space exceed what the faster library's pattern may go back over.
 _LONG_SPACE = re.compile(r"\s{50000}")
@@ -60,28 +63,21 @@ class Encoder:
         return self.fast.encode_to_numpy(text, allowed_special="all").astype(self.dtype)
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+ENCODED = "doc_id long, size long, ids binary"
 
 
-def _pieces(path: str, ranks: str | None):
-    """Each document's windows that are full by themselves, without their ids, and its tail with them."""
+def _encoded(path: str, ranks: str | None):
+    """Each document's ids, with the 0 that ends it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, ranks)
         for batch in batches:
             ids, texts = batch.columns
             for i in range(0, len(ids), 200):
-                rows = []
-                for doc, text in zip(ids[i : i + 200].to_pylist(), texts[i : i + 200].to_pylist(), strict=True):
-                    tokens = np.append(encoder.encode(text or ""), encoder.dtype.type(0))
-                    wide = tokens.astype("<u4")
-                    for at in range(0, len(tokens), WINDOW):
-                        part = wide[at : at + WINDOW]
-                        rest = tokens[at:].tobytes() if len(part) < WINDOW else None
-                        rows.append((doc, at, len(part), zlib.crc32(part.tobytes()), len(tokens), rest))
-                kinds = [pa.int64()] * 5 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                rows = [np.append(encoder.encode(t or ""), encoder.dtype.type(0)) for t in texts[i : i + 200].to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [ids[i : i + 200], pa.array([len(x) for x in rows], pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())],
+                    names=["doc_id", "size", "ids"])
 
     return run
 
@@ -101,177 +97,309 @@ def _counted(dtype: np.dtype):
     return run
 
 
+class Postings:
+    """The inverted index over some documents, by term: all terms, with their BM25 weights.
+
+    `place` gives the column of each common term in a matrix, and -1 for the others.
+    """
+
+    def __init__(self, n: int, term: np.ndarray, where: np.ndarray, weight: np.ndarray, place: np.ndarray):
+        self.n, self.place = n, place
+        column = place[term]
+        many = column >= 0
+        self.common = np.zeros((n, int(place.max(initial=-1)) + 1), np.float32)
+        self.common[where[many], column[many]] = weight[many]
+        self.where, self.weight = where[~many].astype(np.int64), weight[~many]
+        self.starts = np.searchsorted(term[~many], np.arange(len(place) + 1))
+
+    def scores(self, n: int, term: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Of n queries, given as distinct terms and the query of each, with every document."""
+        column = self.place[term]
+        many = column >= 0
+        asked = np.zeros((n, self.common.shape[1]), np.float32)
+        asked[where[many], column[many]] = 1
+        out = asked @ self.common.T
+        term, where = term[~many], where[~many].astype(np.int64)
+        lo, count = self.starts[term], self.starts[term + 1] - self.starts[term]
+        at = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
+        out += np.bincount(np.repeat(where * self.n, count) + self.where[at], self.weight[at], n * self.n).reshape(n, self.n).astype(np.float32)
+        return out
+
+
+def weighed(ids: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term, document and BM25 weight of all postings, by term."""
+    term, where, weight = [], [], []
+    for k, x in enumerate(ids):
+        t, tf = np.unique(x, return_counts=True)
+        term.append(t.astype(np.int32))
+        where.append(np.full(len(t), k, np.int16 if len(ids) < 1 << 15 else np.int32))
+        weight.append((idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean))).astype(np.float32))
+    term, where, weight = np.concatenate(term), np.concatenate(where), np.concatenate(weight)
+    order = np.argsort(term, kind="stable")
+    return term[order], where[order], weight[order]
+
+
+class Best:
+    """The best documents of each of n queries so far: scores, best first, and ids; -1 where there is none."""
+
+    def __init__(self, n: int, most: int):
+        self.most = most
+        self.score, self.other = np.zeros((n, most), np.float32), np.full((n, most), -1, np.int64)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, lo: int) -> None:
+        """Scores of the queries from lo on with the documents of these ids."""
+        n, most = len(scores), self.most
+        score, other = self.score[lo : lo + n], self.other[lo : lo + n]
+        least = score[:, -1:]
+        if not least.any() and scores.shape[1] > most:  # of so many, most would have to be sorted
+            least = np.maximum(least, np.nextafter(-np.partition(-scores, most - 1, axis=1)[:, most - 1 : most], np.float32(-1)))
+        row, col = np.nonzero(scores > least)
+        held_row, held_col = np.nonzero(other >= 0)
+        q = np.concatenate([held_row, row])
+        s = np.concatenate([score[held_row, held_col], scores[row, col]])
+        d = np.concatenate([other[held_row, held_col], ids[col]])
+        order = np.lexsort((d, -s, q))
+        q, s, d = q[order], s[order], d[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        top = rank < most
+        score[:], other[:] = 0, -1
+        score[q[top], rank[top]], other[q[top], rank[top]] = s[top], d[top]
+
+
+def filled(sizes: list[int], near, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
+    """Windows of (document, start, length): a seed, its neighbours that fit whole, of the next best as much as there is room for.
+
+    near(k) are the neighbours of k, best first. If there is room when a seed's are used up, those of the documents
+    beside it follow, and then what comes next in order. A seed that fills a window goes on in the next.
+    """
+    used, first, n = [0] * len(sizes), 0, len(sizes)
+    while True:
+        while first < n and used[first] == sizes[first]:
+            first += 1
+        if first == n:
+            return
+        out, room, ahead = [], window, first
+
+        def take(k: int, room: int) -> int:
+            length = min(sizes[k] - used[k], room)
+            out.append((k, used[k], length))
+            used[k] += length
+            return room - length
+
+        room = take(first, room)
+        heads = deque([first])
+        while room and heads:
+            large = []
+            for k in near(heads.popleft()):
+                rest = sizes[k] - used[k]
+                if 0 < rest <= room:
+                    room = take(k, room)
+                    heads.append(k)
+                    if not room:
+                        break
+                elif rest:
+                    large.append(k)
+            if room and large:
+                room = take(large[0], room)
+        while room and ahead < n:
+            if used[ahead] < sizes[ahead]:
+                room = take(ahead, room)
+            ahead += 1
+        yield out
+
+
 class Shard:
-    """The inverted index over some tails, and the windows filled from it."""
+    """The same over documents held in memory: (doc_id, start, doc_tokens, length, ids) each."""
 
     def __init__(self, tails: list[tuple], dtype: np.dtype, idf: np.ndarray, mean: float):
-        self.tails = tails
-        self.ids = [np.frombuffer(t[4], dtype) for t in tails]
-        self.used = np.zeros(len(tails), np.int64)
-        self.open = np.ones(len(tails), bool)
-        self.next = 0
-        term, where, weight, self.terms = [], [], [], []
-        for k, ids in enumerate(self.ids):
-            t, tf = np.unique(ids, return_counts=True)
-            w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
-            term.append(t)
-            where.append(np.full(len(t), k))
-            weight.append(w)
-            self.terms.append(t[np.argsort(-idf[t], kind="stable")][: 4 * TERMS])
-        term = np.concatenate(term)
-        order = np.argsort(term, kind="stable")
-        self.term, self.where, self.weight = term[order], np.concatenate(where)[order], np.concatenate(weight)[order]
+        self.tails, self.ids = tails, [np.frombuffer(t[4], dtype) for t in tails]
+        self.term, self.where, weight = weighed(self.ids, idf, mean)
+        self.index = Postings(len(tails), self.term, self.where, weight, np.full(len(idf), -1))
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused tails that share a term with the seed's rarest, best first."""
-        lo, hi = np.searchsorted(self.term, self.terms[seed], "left"), np.searchsorted(self.term, self.terms[seed], "right")
-        shared = np.flatnonzero(hi - lo > 1)[:TERMS]
-        if not len(shared):
-            return shared
-        at = np.concatenate([np.arange(lo[k], hi[k]) for k in shared])
-        score = np.bincount(self.where[at], self.weight[at], len(self.tails)) * self.open
+        """Documents that share a term with the seed, best first."""
+        asked = self.term[self.where == seed]
+        score = self.index.scores(1, asked, np.zeros(len(asked), int))[0]
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
-    def left(self) -> Iterator[int]:
-        while self.next < len(self.tails):
-            if self.open[self.next]:
-                yield self.next
-            else:
-                self.next += 1
-
-    def take(self, k: int, room: int, window: list) -> int:
-        """Puts as much of tail k into the window as fits."""
-        doc, start, doc_tokens, _, _ = self.tails[k]
-        ids = self.ids[k][self.used[k] :][:room]
-        window.append((doc, int(start + self.used[k]), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), doc_tokens))
-        self.used[k] += len(ids)
-        self.open[k] = self.used[k] < len(self.ids[k])
-        return room - len(ids)
-
-    def rest(self, k: int) -> int:
-        return len(self.ids[k]) - int(self.used[k])
-
-    def fill(self, last: bool) -> Iterator[list]:
-        """Windows: a seed, its neighbours that fit whole, and of the next best as much as there is room for.
-
-        Unless it is the last shard of a task, less than a window's worth of tokens stays for the next shard.
-        """
-        total = sum(map(self.rest, range(len(self.tails))))
-        while total > 0 and (last or total >= WINDOW):
-            seed = next(self.left())
-            window, room = [], WINDOW
-            self.open[seed] = False
-            near = self.neighbours(seed)
-            room = self.take(seed, room, window)
-            large = []
-            for k in near.tolist():
-                if self.rest(k) <= room:
-                    room = self.take(k, room, window)
-                else:
-                    large.append(k)
-                if room == 0:
-                    break
-            for k in large:
-                if room > 0:
-                    room = self.take(k, room, window)
-            while room > 0 and (k := next(self.left(), None)) is not None:
-                room = self.take(k, room, window)
-            total -= WINDOW - room
-            yield window
+    def fill(self, last: bool = True) -> Iterator[list]:
+        """Windows of (doc_id, start, length, CRC-32, doc_tokens); the short one only if it is the last shard."""
+        for window in filled([len(x) for x in self.ids], lambda k: self.neighbours(k).tolist()):
+            if last or sum(x[2] for x in window) == WINDOW:
+                yield [(self.tails[k][0], self.tails[k][1] + a, n, _crc(self.ids[k][a : a + n]), self.tails[k][2]) for k, a, n in window]
 
-    def remaining(self) -> list[tuple]:
-        return [(t[0], t[1] + int(self.used[k]), t[2], t[3], self.ids[k][self.used[k] :].tobytes()) for k, t in enumerate(self.tails) if self.open[k]]
 
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
 
-PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard long, window long, offset long"
 
+SHARDS = "rows array<long>, sizes array<long>, term array<int>, where array<short>, weight array<float>"
 
-def _packed(dtype: np.dtype, held):
+
+def _shards(dtype: np.dtype, held, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        idf, mean = held.value
-        part, number = TaskContext.get().partitionId(), 0
-
-        def windows(tails: list[tuple], last: bool):
-            nonlocal number
-            shard, rows = Shard(tails, dtype, idf, mean), []
-            for window in shard.fill(last):
-                offset = 0
-                for piece in window:
-                    rows.append((*piece, part, number, offset))
-                    offset += piece[2]
-                number += 1
-            names = [x.split()[0] for x in PACKED.split(", ")]
-            cols = zip(*rows, strict=True) if rows else [[]] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names), shard.remaining()
-
-        held_back: list[tuple] = []
+        idf, mean, _ = held.value
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            ids = [np.frombuffer(x, dtype) for _, x in rows]
+            cols = [np.array([r for r, _ in rows]), np.array([len(x) for x in ids]), *weighed(ids, idf, mean)]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.float32()]
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.list_(k)) for c, k in zip(cols, kinds, strict=True)],
+                                              names=[x.split()[0] for x in SHARDS.split(", ")])
+
+        waiting: list[tuple] = []
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                held_back += zip(*(c.to_pylist() for c in batch.slice(i, 500).columns), strict=True)
-                if len(held_back) >= SHARD:
-                    out, held_back = windows(held_back, False)
-                    yield out
-        if held_back:
-            yield windows(held_back, True)[0]
+            for row, ids in zip(*batch.columns, strict=True):
+                waiting.append((row.as_py(), ids.as_py()))
+                if len(waiting) == most:
+                    yield made(waiting)
+                    waiting = []
+        if waiting:
+            yield made(waiting)
+
+    return run
+
+
+NEIGHBOURS = "row long, size long, near array<struct<cost:float,row:long>>"
+
+
+def _searched(held, most: int, seeds: int):
+    """The best of a turn's shards for each document of a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = held.value[2]
+        asks = best = sizes = None
+
+        def out() -> pa.RecordBatch:
+            known = best.other >= 0
+            ends = np.concatenate([[0], np.cumsum(known.sum(axis=1))]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(-best.score[known]), pa.array(best.other[known])], names=["cost", "row"])
+            return pa.RecordBatch.from_arrays([pa.array(asks), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["row", "size", "near"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows, n, q_term, q_where, ids, term, where, weight = (c[k].values.to_numpy() for c in batch.columns)
+                if asks is None or asks[0] != rows[0]:
+                    if asks is not None:
+                        yield out()
+                    asks, sizes, best = rows, n, Best(len(rows), most)
+                index = Postings(len(ids), term, where, weight, place)
+                for lo in range(0, len(rows), seeds):
+                    m = min(seeds, len(rows) - lo)
+                    mine = (q_where >= lo) & (q_where < lo + m)
+                    scores = index.scores(m, q_term[mine], q_where[mine] - lo)
+                    if ids[0] == rows[0]:
+                        scores[np.arange(m), np.arange(lo, lo + m)] = 0
+                    best.add(scores, ids, lo)
+        if asks is not None:
+            yield out()
 
     return run
 
 
-def _keyed(dtype: np.dtype, held):
-    """Adds the tail's rarest term that is not its own alone: tails are dealt by it."""
+def neighbours(docs: DataFrame, n: int, dtype: np.dtype, held) -> DataFrame:
+    """The NEAR best documents by BM25 of each document: row, size, near.
+
+    Every document is a query with all its terms, and every shard answers it: shards meet in a product over their
+    partitions, a task keeps the best of TURNS shards, and those are merged. So the work grows with the square of n.
+    """
+    shards = -(-n // SHARD)
+    index = cut(docs.select("row", "ids").repartition(shards).mapInArrow(_shards(dtype, held, SHARD), SHARDS))
+    asks = index.select(*(F.col(c).alias(f"q_{c}") for c in ("rows", "sizes", "term", "where")))
+    answers = index.select("rows", "term", "where", "weight").coalesce(-(-shards // TURNS))
+    found = asks.crossJoin(answers).mapInArrow(_searched(held, NEAR, SEEDS), NEIGHBOURS)
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, NEAR)
+    return found.groupBy("row").agg(F.first("size").alias("size"), merged["row"].alias("near"))
+
+
+PLAN = "row long, start long, length long, window long, offset long"
+
+
+def _planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, sizes, ends, near = [], [], [np.zeros(1, np.int64)], []
+    for batch in batches:
+        row, size, lists = batch.columns
+        rows.append(row.to_numpy())
+        sizes.append(size.to_numpy())
+        ends.append(ends[-1][-1] + np.cumsum(lists.value_lengths().to_numpy()))
+        near.append(lists.flatten().to_numpy())
+    if not rows:
+        return
+    rows, ends = np.concatenate(rows), np.concatenate(ends)
+    near = np.searchsorted(rows, np.concatenate(near)).astype(np.int32)
+    made: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        row, *rest = zip(*made, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(rows[list(row)]), *(pa.array(c, pa.int64()) for c in rest)], names=[x.split()[0] for x in PLAN.split(", ")])
+
+    for window, pieces in enumerate(filled(np.concatenate(sizes).tolist(), lambda k: near[ends[k] : ends[k + 1]].tolist())):
+        offset = 0
+        for k, start, length in pieces:
+            made.append((k, start, length, window, offset))
+            offset += length
+        if len(made) >= 10_000:
+            yield out()
+            made = []
+    if made:
+        yield out()
+
+
+PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def _summed(dtype: np.dtype):
+    """A row per piece, with the checksum of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, _ = held.value
-        most = idf[np.isfinite(idf)].max(initial=0.0)
+        names = [x.split()[0] for x in PACKED.split(", ")]
         for batch in batches:
-            keys = []
-            for ids in batch.column("ids"):
-                t = np.unique(np.frombuffer(ids.as_py(), dtype))
-                w = np.where(idf[t] < most, idf[t], -1.0)
-                keys.append(int(t[np.argmax(w)]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "key"])
+            for i in range(0, batch.num_rows, 500):
+                rows = []
+                for doc, ids, pieces in zip(*(c.to_pylist() for c in batch.slice(i, 500).columns), strict=True):
+                    ids = np.frombuffer(ids, dtype)
+                    rows += [(doc, p["start"], p["length"], _crc(ids[p["start"] : p["start"] + p["length"]]), len(ids), p["window"], p["offset"]) for p in pieces]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
     return run
 
 
+def corpus(docs: DataFrame, id_col: str, text_col: str, path: str, ranks: str | None):
+    """The encoded documents (row, doc_id, size, ids), their number, the ids' type, and the broadcast idf, mean length and common terms."""
+    dtype = Encoder(path).dtype
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    encoded = keep(docs.mapInArrow(_encoded(path, ranks), ENCODED).withColumn("row", F.monotonically_increasing_id()))
+    size = encoded.agg(F.count("*").alias("n"), F.coalesce(F.avg("size"), F.lit(1.0)).alias("mean")).first()
+    counts = encoded.select("ids").mapInArrow(_counted(dtype), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(1 + max((r.token for r in counts), default=0), np.int64)
+    for r in counts:
+        df[r.token] = r.n
+    common = df > COMMON * size.n
+    place = np.where(common, np.cumsum(common) - 1, -1)
+    return encoded, size.n, dtype, docs.sparkSession.sparkContext.broadcast((np.log1p((size.n - df + 0.5) / (df + 0.5)), float(size.mean), place))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks: str | None = None) -> DataFrame:
     """Where each document's ids go: a row per piece, with the sequence and the offset in it.
 
-    1. One pass encodes every text; an id 0 ends each document. What fills windows by itself is cut off as
-       sequences of their own; the tails, shorter than a window, go on with their ids. The result is kept.
-    2. Document frequencies of all tails; there are as many as the vocabulary has ids, so they are collected
-       and broadcast.
-    3. Tails are dealt by range of their rarest shared term and id, so that a group of copies is split like any
-       other rows, and each task goes through its tails in shards of SHARD. A shard is a BM25 index:
-       each seed's best unused neighbours that fit are taken whole, and the gap is filled by cutting the next. So
-       only a task's last sequence can be short.
+    1. One pass encodes every text; an id 0 ends each document. The result is kept.
+    2. Document frequencies and the mean length, of whole documents; there are as many terms as the vocabulary has ids,
+       so they are collected and broadcast.
+    3. Each document's NEAR best neighbours by BM25, with all its terms, over all documents (see neighbours).
+    4. One task goes through the documents' sizes and neighbours, without texts or ids, and fills the windows (see
+       filled): whether a neighbour is unused hangs on all windows before. Only the last sequence can be short.
+    5. The pieces meet their ids again for the checksums.
 
     Nulls: a null text is the id 0 alone; null ids are carried. Repeated rows are packed each. Other columns are
     not read. An empty table gives no rows.
     """
-    spark: SparkSession = docs.sparkSession
     if path is None:
         path, ranks = tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken")
-    dtype = Encoder(path).dtype
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = keep(docs.mapInArrow(_pieces(path, ranks), PIECES))
-    tails = pieces.where("ids IS NOT NULL").select("doc_id", "start", "doc_tokens", "length", "ids")
-    size = tails.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean")).first()
-    counts = tails.select("ids").mapInArrow(_counted(dtype), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(1 + max((r.token for r in counts), default=0), np.int64)
-    for r in counts:
-        df[r.token] = r.n
-    held = spark.sparkContext.broadcast((np.log1p((size.n - df + 0.5) / (df + 0.5)), float(size.mean)))
-    dealt = (
-        tails.mapInArrow(_keyed(dtype, held), "doc_id long, start long, doc_tokens long, length long, ids binary, key long")
-        .repartitionByRange("key", "doc_id", "start").sortWithinPartitions("key", "doc_id", "start")
-        .select("doc_id", "start", "doc_tokens", "length", "ids")
-    )
-    packed = cut(dealt.mapInArrow(_packed(dtype, held), PACKED))
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    full = pieces.where("ids IS NULL").withColumns({"sequence_id": 2 * F.monotonically_increasing_id() + 1, "offset": F.lit(0).cast("long")})
-    tail = packed.withColumn("sequence_id", 2 * (F.shiftleft("shard", 32) + F.col("window")))
-    return full.select(*columns).unionByName(tail.select(*columns))
+    encoded, n, dtype, held = corpus(docs, id_col, text_col, path, ranks)
+    if not n:
+        return docs.sparkSession.createDataFrame([], PACKED)
+    near = neighbours(encoded, n, dtype, held)
+    plan = cut(near.repartition(1).sortWithinPartitions("row").mapInArrow(_planned, PLAN))
+    pieces = plan.groupBy("row").agg(F.collect_list(F.struct("start", "length", "window", "offset")).alias("pieces"))
+    return encoded.join(pieces, "row").select("doc_id", "ids", "pieces").mapInArrow(_summed(dtype), PACKED)

@@ -83,5 +83,33 @@ def test_neighbours_share_words():
     assert [p[0] % 2 for p in windows[0]][:4] == [0] * 4 and sum(p[2] for w in windows for p in w) == 2000
 
 
+def test_recall_over_all_shards(spark, monkeypatch):
+    """Against BM25 with all terms over all whole documents."""
+    for name, value in {"SHARD": 40, "TURNS": 2, "SEEDS": 16, "NEAR": 10}.items():
+        monkeypatch.setattr(packing, name, value)
+    rng = random.Random(5)
+    kinds = [[f"w{rng.randrange(3000)}" for _ in range(60)] for _ in range(30)]
+    rows = [(k, " ".join(rng.choice(kinds[k % 30]) if rng.random() < 0.5 else f"w{rng.randrange(3000)}" for _ in range(rng.choice([30, 150, 900])))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    encoded, n, dtype, held = packing.corpus(docs, "doc_id", "text", PATH, packing.tokenizer_path("byte_bpe_50k.tiktoken"))
+    doc = {r.row: r.doc_id for r in encoded.collect()}
+    got = {doc[r.row]: [doc[x] for x in r.near] for r in packing.neighbours(encoded, n, dtype, held).collect()}
+    bags = [np.unique(ids(t), return_counts=True) for _, t in rows]
+    sizes = [len(ids(t)) for _, t in rows]
+    assert max(sizes) > 1024
+    tf = np.zeros((n, max(b[0].max() for b in bags) + 1))
+    for k, (term, count) in enumerate(bags):
+        tf[k, term] = count
+    df = (tf > 0).sum(axis=0)
+    long = 1 - packing.B + packing.B * np.array(sizes)[:, None] / np.mean(sizes)
+    weights = np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * long)
+    scores = (tf > 0) @ weights.T
+    np.fill_diagonal(scores, 0)
+    best = np.argsort(-scores, axis=1)[:, :10]
+    assert len(got) == n and all(k not in near for k, near in got.items())
+    assert sum(len({*got[k]} & {*best[k].tolist()}) for k in got) >= 0.9 * 10 * n
+    assert sum(got[k][0] == best[k][0] for k in got) >= 0.9 * n
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
