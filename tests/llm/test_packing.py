@@ -111,5 +111,10 @@ def test_recall_over_all_shards(spark, monkeypatch):
     assert sum(got[k][0] == best[k][0] for k in got) >= 0.9 * n
 
 
+def test_long_documents_meet_their_neighbours():
+    sizes, near = [1500, 300, 300, 2000], {0: [2, 3], 1: [3], 2: [0], 3: [1]}
+    assert list(packing.filled(sizes, near.get)) == [[(0, 0, 1024)], [(0, 1024, 476), (2, 0, 300), (3, 0, 248)], [(1, 0, 300), (3, 248, 724)], [(3, 972, 1024)], [(3, 1996, 4)]]
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
