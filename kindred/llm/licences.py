@@ -89,13 +89,15 @@ OTHERS = [
     "Licensed premises must close at midnight.", "The doctor is licensed to practice in three states.",
 ]
 UNKNOWN = "unknown"
-#: Texts without any of these have no licence notice; only paragraphs with one are classified.
-ROOTS = ("licen", "gpl", "spdx", "creative commons", "public domain", "permission is hereby", "redistribution and use", "waived all copyright", "mpl ", "cc by", "cc0", "noncommercial")
 #: Cropped and sprinkled copies of each training paragraph; a fifth of all rows is held out for the calibration.
 COPIES, SEED = 24, 11
 PENALTY, L1_SHARE, ROUNDS = 0.003, 0.5, 300
 #: The share of a template's word pairs that a paragraph must hold to confirm a prediction.
 CONFIRMED = 0.6
+#: A whole paragraph of so many word pairs may also be part of a template, with that share of its own pairs.
+LEAST_OWN = 3
+#: Comment signs at the ends of a line.
+SIGNS = "^[\\x20\\t]*(?://+|/\\*+|\\*+/?|#+|--+|;+|%+|<!--)|(?:\\*+/|-->)[\\x20\\t\\r]*$"
 
 
 def grams(text: Column) -> Column:
@@ -207,25 +209,62 @@ def templates(spark: SparkSession) -> DataFrame:
     return rows.select("family", "template", F.filter(grams(F.col("template")), lambda g: g.contains(" ")).alias("pairs"))
 
 
+def telling(pairs: list[str]) -> list[str]:
+    """Words of which a text holds at least one, if it holds CONFIRMED of these word pairs: the longest that suffice."""
+    left, out = list(pairs), []
+    for word in sorted({w for p in pairs for w in p.split()}, key=lambda w: (-len(w), w)):
+        if len(left) < CONFIRMED * len(pairs):
+            break
+        out.append(word)
+        left = [p for p in left if word not in p.split()]
+    return out
+
+
+def units(text: Column) -> Column:
+    """A text's lines, and its paragraphs between blank lines, wrapped lines joined and comment signs taken off.
+
+    Lines carry their number behind a sign of their own while they are joined, so that paragraphs know their lines.
+    """
+    lines = F.split(text, "\n")
+    plain = lambda x: F.translate(F.regexp_replace(x, SIGNS, ""), "\x01\x02\x03", "   ")
+    marked = F.transform(lines, lambda x, i: F.when(F.rlike(plain(x), F.lit("[^\\x20\\x09-\\x0D]")), F.concat(F.lit("\x01"), i.cast("string"), F.lit("\x02"), plain(x))).otherwise(F.lit("\x03")))
+    parts = F.filter(F.split(F.array_join(marked, " "), "\x03"), lambda x: F.contains(x, F.lit("\x01")))
+    number = lambda x, k: F.substring_index(F.substring_index(x, "\x01", k), "\x02", 1)
+    first = lambda x: F.regexp_extract(x, "\x01([0-9]+)\x02", 1).cast("int")
+    whole = F.transform(parts, lambda x: F.struct(first(x).alias("first"), number(x, -1).cast("int").alias("last"), F.trim(F.regexp_replace(x, "\x01[0-9]+\x02", "")).alias("line"), F.lit(True).alias("whole")))
+    return F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("first"), i.alias("last"), x.alias("line"), F.lit(False).alias("whole"))), whole)
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """The licence notices of all texts, a row each: doc_id, paragraph, family, probability, confirmed_share, line.
 
-    Paragraphs are lines, counted from 0. Only paragraphs that hold one of the ROOTS are scored. A prediction counts
-    if its probability reaches the model's least one, and if the paragraph holds CONFIRMED of the word pairs of one of the family's
-    templates; others are unknown and give no row.
+    Both lines and the paragraphs between blank lines are scored (see units). `paragraph` is the number of the first
+    line, from 0, and `line` the line or the joined paragraph, which gives no row if one of its lines alone is a notice of that family.
+    A prediction counts if its probability reaches the model's least one, and if the text holds CONFIRMED of the word pairs of one of
+    the family's templates. A paragraph as a whole may also have CONFIRMED of its own pairs, LEAST_OWN or more, in a template, if it holds one of that
+    template's telling words. Others are unknown and give no row. What holds no telling word of any template cannot be confirmed, so it is
+    not scored.
 
     One pass finds the paragraphs; what is shuffled are their words that have weights. Nulls: a null text has no paragraphs; a null id is
     carried. Repeated rows give their notices each. Other columns are not read. An empty table gives no rows.
     """
     spark = df.sparkSession
     model = model or fit(spark)
-    has = lambda c: F.expr(" OR ".join(f"contains({c}, '{r}')" for r in ROOTS))
+    known = [(r.family, r.pairs, telling(r.pairs)) for r in templates(spark).collect()]
+    words = sorted({w for *_, ws in known for w in ws})
+    words = [w for w in words if not any(v in w for v in words if v != w)]
+    has = lambda c: F.expr(" OR ".join(f"contains({c}, '{w}')" for w in words))
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(has("lower(text)"))
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(has("lower(line)"))
-    lines = cut(lines).withColumn("uid", F.monotonically_increasing_id())
-    found = model.scored(lines.withColumn("grams", grams(F.col("line")))).where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.least))
-    own = found.withColumn("own", grams(F.col("line"))).join(F.broadcast(templates(spark)), "family")
-    share = F.size(F.array_intersect("own", "pairs")) / F.size("pairs")
-    best = own.groupBy("uid", "doc_id", "paragraph", "family", "probability", "line").agg(F.max(share).alias("confirmed_share"))
-    return best.where(F.col("confirmed_share") >= CONFIRMED).select(
-        "doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "confirmed_share", "line")
+    texts = docs.withColumn("doc", F.monotonically_increasing_id()).select("doc_id", "doc", F.explode(units(F.col("text"))).alias("of"))
+    texts = cut(texts.select("doc_id", "doc", "of.*").where(has("lower(line)"))).withColumn("uid", F.monotonically_increasing_id())
+    found = model.scored(texts.withColumn("grams", grams(F.col("line")))).where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.least))
+    of = F.broadcast(spark.createDataFrame(known, "family string, pairs array<string>, telling array<string>"))
+    own = found.withColumn("grams", grams(F.col("line"))).join(of, "family").withColumn("own", F.filter("grams", lambda g: g.contains(" ")))
+    both = F.size(F.array_intersect("own", "pairs"))
+    part = F.when(F.col("whole") & (F.size("own") >= LEAST_OWN) & F.arrays_overlap("grams", "telling"), both / F.size("own")).otherwise(0.0)
+    best = own.groupBy("uid", "doc", "doc_id", "first", "last", "whole", "family", "probability", "line").agg(F.max(F.greatest(both / F.size("pairs"), part)).alias("confirmed_share"))
+    best = cut(best.where(F.col("confirmed_share") >= CONFIRMED))
+    lines = best.where("NOT whole").select("doc", "family", F.col("first").alias("at"))
+    more = best.where("whole").join(lines, ["doc", "family"], "left").groupBy(*best.columns).agg(F.count_if(F.col("at").between(F.col("first"), F.col("last"))).alias("n"))
+    return best.where("NOT whole").unionByName(more.where("n = 0").drop("n")).select(
+        "doc_id", F.col("first").cast("long").alias("paragraph"), "family", "probability", "confirmed_share", "line")

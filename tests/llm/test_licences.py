@@ -37,5 +37,49 @@ def test_confirmation_is_needed(spark, model):
     assert L.scan(df, model=model).count() == 0
 
 
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020 A. Nonymous
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+BSD = """Copyright (c) 2020, A. Nonymous
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+"""
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+"""
+
+
+def test_wrapped_notices(spark, model):
+    rows = [(1, MIT), (2, BSD), (3, APACHE), (4, GPL)]
+    got = {(r.doc_id, r.paragraph, r.family) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()}
+    assert {(1, 4, "MIT"), (2, 3, "BSD"), (4, 0, "GPL")} <= got
+    assert {f for k, _, f in got if k == 3} == {"Apache-2.0"} and {(k, f) for k, _, f in got} == {(1, "MIT"), (2, "BSD"), (3, "Apache-2.0"), (4, "GPL")}
+
+
 def test_empty(spark, model):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string"), model=model).count() == 0
