@@ -81,5 +81,21 @@ def test_wrapped_notices(spark, model):
     assert {f for k, _, f in got if k == 3} == {"Apache-2.0"} and {(k, f) for k, _, f in got} == {(1, "MIT"), (2, "BSD"), (3, "Apache-2.0"), (4, "GPL")}
 
 
+LINES = ["You may not use the material for commercial purposes.", "This is free and unencumbered software released into the",
+         "All copyright and related or neighboring rights to this work are waived by the author to the extent possible under law."]
+
+
+def test_prefilter_loses_nothing(spark, model):
+    """As if all lines were scored: those that the model and the templates accept are found."""
+    texts = [*LINES, *(t for t, _, _ in L.training(99))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scored = model.scored(df.withColumnRenamed("doc_id", "uid").withColumn("grams", L.grams(F.col("text"))))
+    own = scored.withColumn("own", L.grams(F.col("text"))).join(L.templates(spark), "family")
+    sure = own.where((F.col("probability") >= model.least) & (F.size(F.array_intersect("own", "pairs")) / F.size("pairs") >= L.CONFIRMED))
+    want = {(r.uid, r.family) for r in sure.select("uid", "family").distinct().collect()}
+    assert any(k < len(LINES) for k, _ in want)
+    assert want <= {(r.doc_id, r.family) for r in L.scan(df, model=model).collect()}
+
+
 def test_empty(spark, model):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string"), model=model).count() == 0
