@@ -76,3 +76,45 @@ def test_full_share_of_ranks_is_even(spark):
     a = got[got.source_size == got.source_size.max()]
     share = (a.taken > 0).groupby(a["size"]).mean()
     assert share.max() - share.min() < 0.2
+
+
+def odds(sizes, quota, lean):
+    """Inclusion probabilities by bisection of the level."""
+    g = [2 ** (lean * (n.bit_length() - 1)) for n in sizes]
+    lo, hi = 0.0, 1.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(1, mid * a) * n for a, n in zip(g, sizes, strict=True)) < quota else (lo, mid)
+    return [min(1, hi * a) for a in g]
+
+
+@pytest.mark.parametrize("lean", [0.2, 1.0])
+def test_inclusion_frequencies(spark, lean):
+    """Each source is a replicate of the same documents; two in three sample half of their words, a seed each."""
+    rng, copies = random.Random(8), 600
+    sizes = [rng.choice([3, 9, 20, 50, 100, 400]) for _ in range(120)] + [6000]
+    rows = [(r * 1000 + k, n, f"s{r:03}") for r in range(copies) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, n int, source string").selectExpr("doc_id", "repeat('w ', n) AS text", "source")
+    got = mixing.Mix(df, lean=lean).taken().toPandas()
+    want = odds(sizes, sum(sizes) / 2, lean)
+    assert max(want) > min(want) + 0.25 and (lean < 1 or max(want) == 1)
+    got["r"], got["k"] = got.doc_id // 1000, got.doc_id % 1000
+    got = got[got.r % 3 != 1]
+    extra = got.taken // got["size"] - (got.r % 3 == 2)
+    assert set(extra.unique()) == {0, 1}
+    mean, n = extra.groupby(got.k).mean(), 2 * copies // 3
+    for k, p in enumerate(want):
+        assert abs(mean[k] - p) <= 4.5 * (p * (1 - p) / n) ** 0.5 + 0.03, (k, sizes[k], p, mean[k])
+    # by length class, where noise is small
+    for s in set(sizes):
+        ks = [k for k, x in enumerate(sizes) if x == s]
+        p = want[ks[0]]
+        assert abs(mean[ks].mean() - p) <= 0.03 + 4.5 * (p * (1 - p) / n / len(ks)) ** 0.5, (s, p, mean[ks].mean())
+
+
+def test_long_text_and_copies_at_the_end(spark):
+    """A text as long as the rest of its source, and one row many times: the targets still hold."""
+    rows = [(1, "w " * 200_000, "a")] + [(2, "x y z", "b")] * 5000 + [(k, "w " * 40, "c") for k in range(10, 4000)]
+    got = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).taken().toPandas()
+    for target, g in got.groupby("target"):
+        assert abs(g.taken.sum() - target) <= max(1, g["size"].max() / 2) and (g.taken <= 3 * g["size"]).all()
