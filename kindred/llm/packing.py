@@ -6,23 +6,25 @@ import base64
 import os
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, keep
+from .words import mixed
 
 WINDOW = 1024
-#: Documents per shard of the index, shards that a task queries in turn, and seeds that are scored at once.
-SHARD, TURNS, SEEDS = 2048, 8, 512
-#: Neighbours that each document keeps of all shards.
-NEAR = 32
-#: Terms in more than this share of the documents are scored by a matrix product, others by postings.
-COMMON = 0.05
+#: Every so many ids there is a seed: documents whose id it divides are the queries.
+EVERY = 50
+#: Documents per shard of the index, documents and seeds that are scored at once.
+SHARD, BLOCK, SEEDS = 1 << 15, 4096, 512
+#: The most frequent terms are scored by a matrix product, others by postings. Only speed hangs on it.
+DENSE = 1024
+#: Documents that a window looks ahead for one that fits whole.
+LOOK = 64
 K1, B = 1.2, 0.75
 #: Longer runs of white space exceed what the faster library's pattern may go back over.
 _LONG_SPACE = re.compile(r"\s{50000}")
@@ -97,253 +99,230 @@ def _counted(dtype: np.dtype):
     return run
 
 
-class Postings:
-    """The inverted index over some documents, by term: all terms, with their BM25 weights.
+def weighed(terms: np.ndarray, tf: np.ndarray, size, idf: np.ndarray, mean: float) -> np.ndarray:
+    """The BM25 weights of a document's distinct terms, of so many times each."""
+    return (idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))).astype(np.float32)
 
-    `place` gives the column of each common term in a matrix, and -1 for the others.
-    """
 
-    def __init__(self, n: int, term: np.ndarray, where: np.ndarray, weight: np.ndarray, place: np.ndarray):
-        self.n, self.place = n, place
+class Asked:
+    """Some seeds as queries: their distinct terms, and what each scores by itself."""
+
+    def __init__(self, terms: list[np.ndarray], own: list[float], place: np.ndarray):
+        self.n, self.own = len(terms), np.array(own, np.float32)
+        term, where = np.concatenate(terms).astype(np.int64), np.repeat(np.arange(self.n), [len(t) for t in terms])
         column = place[term]
         many = column >= 0
-        self.common = np.zeros((n, int(place.max(initial=-1)) + 1), np.float32)
-        self.common[where[many], column[many]] = weight[many]
-        self.where, self.weight = where[~many].astype(np.int64), weight[~many]
-        self.starts = np.searchsorted(term[~many], np.arange(len(place) + 1))
-
-    def scores(self, n: int, term: np.ndarray, where: np.ndarray) -> np.ndarray:
-        """Of n queries, given as distinct terms and the query of each, with every document."""
-        column = self.place[term]
-        many = column >= 0
-        asked = np.zeros((n, self.common.shape[1]), np.float32)
-        asked[where[many], column[many]] = 1
-        out = asked @ self.common.T
-        term, where = term[~many], where[~many].astype(np.int64)
-        lo, count = self.starts[term], self.starts[term + 1] - self.starts[term]
-        at = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
-        out += np.bincount(np.repeat(where * self.n, count) + self.where[at], self.weight[at], n * self.n).reshape(n, self.n).astype(np.float32)
-        return out
+        self.dense = np.zeros((int(place.max(initial=-1)) + 1, self.n), np.float32)
+        self.dense[column[many], where[many]] = 1
+        self.term, self.where = term[~many], where[~many]
 
 
-def weighed(ids: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Term, document and BM25 weight of all postings, by term."""
-    term, where, weight = [], [], []
-    for k, x in enumerate(ids):
-        t, tf = np.unique(x, return_counts=True)
-        term.append(t.astype(np.int32))
-        where.append(np.full(len(t), k, np.int16 if len(ids) < 1 << 15 else np.int32))
-        weight.append((idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean))).astype(np.float32))
-    term, where, weight = np.concatenate(term), np.concatenate(where), np.concatenate(weight)
-    order = np.argsort(term, kind="stable")
-    return term[order], where[order], weight[order]
-
-
-class Best:
-    """The best documents of each of n queries so far: scores, best first, and ids; -1 where there is none."""
-
-    def __init__(self, n: int, most: int):
-        self.most = most
-        self.score, self.other = np.zeros((n, most), np.float32), np.full((n, most), -1, np.int64)
-
-    def add(self, scores: np.ndarray, ids: np.ndarray, lo: int) -> None:
-        """Scores of the queries from lo on with the documents of these ids."""
-        n, most = len(scores), self.most
-        score, other = self.score[lo : lo + n], self.other[lo : lo + n]
-        least = score[:, -1:]
-        if not least.any() and scores.shape[1] > most:  # of so many, most would have to be sorted
-            least = np.maximum(least, np.nextafter(-np.partition(-scores, most - 1, axis=1)[:, most - 1 : most], np.float32(-1)))
-        row, col = np.nonzero(scores > least)
-        held_row, held_col = np.nonzero(other >= 0)
-        q = np.concatenate([held_row, row])
-        s = np.concatenate([score[held_row, held_col], scores[row, col]])
-        d = np.concatenate([other[held_row, held_col], ids[col]])
-        order = np.lexsort((d, -s, q))
-        q, s, d = q[order], s[order], d[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        top = rank < most
-        score[:], other[:] = 0, -1
-        score[q[top], rank[top]], other[q[top], rank[top]] = s[top], d[top]
-
-
-def filled(sizes: list[int], near, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
-    """Windows of (document, start, length): a seed, its neighbours that fit whole, of the next best as much as there is room for.
-
-    near(k) are the neighbours of k, best first. If there is room when a seed's are used up, those of the documents
-    beside it follow, and then what comes next in order. A seed that fills a window goes on in the next.
+class Postings:
+    """The inverted index over some documents: the BM25 weights of all their terms, the most frequent ones as a matrix.
+
+    `place` gives the column of each of those, and -1 for the others.
     """
-    used, first, n = [0] * len(sizes), 0, len(sizes)
-    while True:
-        while first < n and used[first] == sizes[first]:
-            first += 1
-        if first == n:
-            return
-        out, room, ahead = [], window, first
-
-        def take(k: int, room: int) -> int:
-            length = min(sizes[k] - used[k], room)
-            out.append((k, used[k], length))
-            used[k] += length
-            return room - length
-
-        room = take(first, room)
-        heads = deque([first])
-        while room and heads:
-            large = []
-            for k in near(heads.popleft()):
-                rest = sizes[k] - used[k]
-                if 0 < rest <= room:
-                    room = take(k, room)
-                    heads.append(k)
-                    if not room:
-                        break
-                elif rest:
-                    large.append(k)
-            if room and large:
-                room = take(large[0], room)
-        while room and ahead < n:
-            if used[ahead] < sizes[ahead]:
-                room = take(ahead, room)
-            ahead += 1
-        yield out
+
+    def __init__(self, terms: list[np.ndarray], weights: list[np.ndarray], place: np.ndarray):
+        self.n, self.own = len(terms), np.array([w.sum() for w in weights], np.float32)
+        term, weight = np.concatenate(terms).astype(np.int64), np.concatenate(weights)
+        where = np.repeat(np.arange(self.n), [len(t) for t in terms])
+        column = place[term]
+        many = column >= 0
+        self.dense = np.zeros((self.n, int(place.max(initial=-1)) + 1), np.float32)
+        self.dense[where[many], column[many]] = weight[many]
+        order = np.argsort(term[~many], kind="stable")
+        self.where, self.weight = where[~many][order], weight[~many][order]
+        self.starts = np.searchsorted(term[~many][order], np.arange(len(place) + 1))
+
+    def scores(self, asked: Asked) -> np.ndarray:
+        """BM25 of each document for each seed, by all terms that they share."""
+        out = self.dense @ asked.dense
+        lo, count = self.starts[asked.term], self.starts[asked.term + 1] - self.starts[asked.term]
+        if total := int(count.sum()):
+            at = np.arange(total) + np.repeat(lo - (np.cumsum(count) - count), count)
+            flat = self.where[at] * asked.n + np.repeat(asked.where, count)
+            out += np.bincount(flat, self.weight[at], out.size).reshape(out.shape)
+        return out
 
 
 class Shard:
-    """The same over documents held in memory: (doc_id, start, doc_tokens, length, ids) each."""
+    """A shard of the index. Each of its documents goes to the seed that retrieves it best.
 
-    def __init__(self, tails: list[tuple], dtype: np.dtype, idf: np.ndarray, mean: float):
-        self.tails, self.ids = tails, [np.frombuffer(t[4], dtype) for t in tails]
-        self.term, self.where, weight = weighed(self.ids, idf, mean)
-        self.index = Postings(len(tails), self.term, self.where, weight, np.full(len(idf), -1))
+    `best` is the BM25 score over what the two score by themselves: a long seed holds all terms, and would retrieve
+    everything; a short one is held in full by many. Of equal seeds the first stays.
+    """
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Documents that share a term with the seed, best first."""
-        asked = self.term[self.where == seed]
-        score = self.index.scores(1, asked, np.zeros(len(asked), int))[0]
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+    def __init__(self, terms: list[np.ndarray], weights: list[np.ndarray], place: np.ndarray, block: int | None = None):
+        step = block or BLOCK
+        self.parts = [Postings(terms[i : i + step], weights[i : i + step], place) for i in range(0, len(terms), step)]
+        self.best, self.seed = np.zeros(len(terms), np.float32), np.full(len(terms), -1, np.int64)
 
-    def fill(self, last: bool = True) -> Iterator[list]:
-        """Windows of (doc_id, start, length, CRC-32, doc_tokens); the short one only if it is the last shard."""
-        for window in filled([len(x) for x in self.ids], lambda k: self.neighbours(k).tolist()):
-            if last or sum(x[2] for x in window) == WINDOW:
-                yield [(self.tails[k][0], self.tails[k][1] + a, n, _crc(self.ids[k][a : a + n]), self.tails[k][2]) for k, a, n in window]
+    def ask(self, asked: Asked, seeds: np.ndarray) -> None:
+        at = 0
+        for part in self.parts:
+            alike = part.scores(asked)
+            alike /= part.own[:, None] + asked.own
+            top = alike.argmax(axis=1)
+            value = alike[np.arange(part.n), top]
+            mine = slice(at, at + part.n)
+            more = value > self.best[mine]
+            self.seed[mine][more], self.best[mine][more] = seeds[top[more]], value[more]
+            at += part.n
 
 
-def _crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+TERMS = "shard int, seed boolean, row long, size long, terms binary, tf binary"
 
 
-SHARDS = "rows array<long>, sizes array<long>, term array<int>, where array<short>, weight array<float>"
+def _dealt(dtype: np.dtype, shards: int, every: int):
+    """Each document's terms for its shard of the index, and those of each seed for all shards."""
 
-
-def _shards(dtype: np.dtype, held, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, mean, _ = held.value
-
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            ids = [np.frombuffer(x, dtype) for _, x in rows]
-            cols = [np.array([r for r, _ in rows]), np.array([len(x) for x in ids]), *weighed(ids, idf, mean)]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.float32()]
-            return pa.RecordBatch.from_arrays([pa.array([c], pa.list_(k)) for c, k in zip(cols, kinds, strict=True)],
-                                              names=[x.split()[0] for x in SHARDS.split(", ")])
-
-        waiting: list[tuple] = []
         for batch in batches:
-            for row, ids in zip(*batch.columns, strict=True):
-                waiting.append((row.as_py(), ids.as_py()))
-                if len(waiting) == most:
-                    yield made(waiting)
-                    waiting = []
-        if waiting:
-            yield made(waiting)
+            for i in range(0, batch.num_rows, 500):
+                out = []
+                for row, doc, size, ids in zip(*(c.to_pylist() for c in batch.slice(i, 500).columns), strict=True):
+                    term, tf = np.unique(np.frombuffer(ids, dtype), return_counts=True)
+                    is_seed = doc is not None and doc % every == 0
+                    rest = (row, size, term.astype(dtype).tobytes(), np.minimum(tf, 65535).astype("<u2").tobytes())
+                    out.append((int(mixed(np.array([row], np.uint64))[0] % np.uint64(shards)), False, *rest))
+                    if is_seed:
+                        out += [(k, True, *rest) for k in range(shards)]
+                        if len(out) >= 5000:
+                            yield _rows(out, TERMS)
+                            out = []
+                if out:
+                    yield _rows(out, TERMS)
 
     return run
 
 
-NEIGHBOURS = "row long, size long, near array<struct<cost:float,row:long>>"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "float": pa.float32()}
 
 
-def _searched(held, most: int, seeds: int):
-    """The best of a turn's shards for each document of a shard."""
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+
+
+FOUND = "row long, size long, seed long, best float"
+
+
+def _retrieved(held, dtype: np.dtype, seeds: int):
+    """Per shard first its documents come, which are indexed, and then the seeds, which are asked block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = held.value[2]
-        asks = best = sizes = None
+        idf, mean, place = held.value
+        number = shard = None
+        docs: list[tuple] = []
+        queue: list[tuple] = []
+
+        def ask() -> None:
+            nonlocal shard
+            if shard is None:
+                shard = Shard([d[2] for d in docs], [d[3] for d in docs], place)
+                docs[:] = [d[:2] for d in docs]
+            if queue and docs:
+                shard.ask(Asked([q[2] for q in queue], [float(q[3].sum()) for q in queue], place), np.array([q[0] for q in queue]))
+            queue.clear()
 
         def out() -> pa.RecordBatch:
-            known = best.other >= 0
-            ends = np.concatenate([[0], np.cumsum(known.sum(axis=1))]).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(-best.score[known]), pa.array(best.other[known])], names=["cost", "row"])
-            return pa.RecordBatch.from_arrays([pa.array(asks), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["row", "size", "near"])
+            ask()
+            cols = [np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs], np.int64), shard.seed, shard.best]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[x.split()[0] for x in FOUND.split(", ")])
 
         for batch in batches:
-            for k in range(batch.num_rows):
-                rows, n, q_term, q_where, ids, term, where, weight = (c[k].values.to_numpy() for c in batch.columns)
-                if asks is None or asks[0] != rows[0]:
-                    if asks is not None:
+            for k, is_seed, row, size, terms, tf in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != number:
+                    if docs:
                         yield out()
-                    asks, sizes, best = rows, n, Best(len(rows), most)
-                index = Postings(len(ids), term, where, weight, place)
-                for lo in range(0, len(rows), seeds):
-                    m = min(seeds, len(rows) - lo)
-                    mine = (q_where >= lo) & (q_where < lo + m)
-                    scores = index.scores(m, q_term[mine], q_where[mine] - lo)
-                    if ids[0] == rows[0]:
-                        scores[np.arange(m), np.arange(lo, lo + m)] = 0
-                    best.add(scores, ids, lo)
-        if asks is not None:
+                    number, shard = k, None
+                    docs.clear()
+                    queue.clear()
+                term = np.frombuffer(terms, dtype)
+                entry = (row, size, term, weighed(term, np.frombuffer(tf, "<u2").astype(np.float64), size, idf, mean))
+                (queue if is_seed else docs).append(entry)
+                if len(queue) == seeds:
+                    ask()
+        if docs:
             yield out()
 
     return run
 
 
-def neighbours(docs: DataFrame, n: int, dtype: np.dtype, held) -> DataFrame:
-    """The NEAR best documents by BM25 of each document: row, size, near.
+def retrieved(docs: DataFrame, n: int, dtype: np.dtype, held, every: int = EVERY) -> DataFrame:
+    """Of each document (row, size): the seed that retrieves it best, its row, or -1 if no seed shares a term, and how well.
 
-    Every document is a query with all its terms, and every shard answers it: shards meet in a product over their
-    partitions, a task keeps the best of TURNS shards, and those are merged. So the work grows with the square of n.
+    The index is sharded by documents; each shard answers all seeds, with all their terms, so nothing is lost between
+    shards. A task holds a shard, of about SHARD documents whatever n is, and the seeds go by. They are one document in `every`,
+    so this step's work is n * n / every, and what is shuffled n documents' terms and as many seeds' as there are shards.
     """
     shards = -(-n // SHARD)
-    index = cut(docs.select("row", "ids").repartition(shards).mapInArrow(_shards(dtype, held, SHARD), SHARDS))
-    asks = index.select(*(F.col(c).alias(f"q_{c}") for c in ("rows", "sizes", "term", "where")))
-    answers = index.select("rows", "term", "where", "weight").coalesce(-(-shards // TURNS))
-    found = asks.crossJoin(answers).mapInArrow(_searched(held, NEAR, SEEDS), NEIGHBOURS)
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, NEAR)
-    return found.groupBy("row").agg(F.first("size").alias("size"), merged["row"].alias("near"))
+    dealt = docs.select("row", "doc_id", "size", "ids").mapInArrow(_dealt(dtype, shards, every), TERMS)
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "seed", "row").mapInArrow(_retrieved(held, dtype, SEEDS), FOUND)
+
+
+def filled(docs: Iterator[tuple[int, int, int]], window: int = WINDOW, look: int | None = None) -> Iterator[list[tuple[int, int, int]]]:
+    """Windows of (document, start, length) from a stream of (document, start, length), best neighbours first.
+
+    A window takes the first that waits, then again and again the first of `look` waiting ones that fits whole, and if none
+    does, as much of the first as there is room for: it goes on in the next window. Only the last window can be short.
+    """
+    look = look or LOOK
+    waiting: list[list[int]] = []
+    docs = iter(docs)
+
+    def ready() -> bool:
+        while len(waiting) < look and (more := next(docs, None)) is not None:
+            if more[2]:
+                waiting.append(list(more))
+        return bool(waiting)
+
+    while ready():
+        out, room, k = [], window, 0
+        while room and ready():
+            if out:
+                k = next((i for i, w in enumerate(waiting) if w[2] <= room), 0)
+            doc, start, left = waiting[k]
+            length = min(left, room)
+            out.append((doc, start, length))
+            room -= length
+            if length == left:
+                del waiting[k]
+            else:
+                waiting[k][1:] = start + length, left - length
+        yield out
 
 
 PLAN = "row long, start long, length long, window long, offset long"
 
 
-def _planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows, sizes, ends, near = [], [], [np.zeros(1, np.int64)], []
-    for batch in batches:
-        row, size, lists = batch.columns
-        rows.append(row.to_numpy())
-        sizes.append(size.to_numpy())
-        ends.append(ends[-1][-1] + np.cumsum(lists.value_lengths().to_numpy()))
-        near.append(lists.flatten().to_numpy())
-    if not rows:
-        return
-    rows, ends = np.concatenate(rows), np.concatenate(ends)
-    near = np.searchsorted(rows, np.concatenate(near)).astype(np.int32)
-    made: list[tuple] = []
-
-    def out() -> pa.RecordBatch:
-        row, *rest = zip(*made, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(rows[list(row)]), *(pa.array(c, pa.int64()) for c in rest)], names=[x.split()[0] for x in PLAN.split(", ")])
-
-    for window, pieces in enumerate(filled(np.concatenate(sizes).tolist(), lambda k: near[ends[k] : ends[k + 1]].tolist())):
-        offset = 0
-        for k, start, length in pieces:
-            made.append((k, start, length, window, offset))
-            offset += length
-        if len(made) >= 10_000:
-            yield out()
-            made = []
-    if made:
-        yield out()
+def _planned(rest: bool):
+    """Fills the windows of a partition. What is left of a short one at its end waits under window -1, but in the last step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = (1 << 62) if rest else TaskContext.get().partitionId() << 32
+        stream = (r for b in batches for i in range(0, b.num_rows, 5000) for r in zip(*(c.to_pylist() for c in b.slice(i, 5000).columns), strict=True))
+        made: list[tuple] = []
+        for k, pieces in enumerate(filled(stream)):
+            short = not rest and sum(p[2] for p in pieces) < WINDOW
+            offset = 0
+            for row, start, length in pieces:
+                made.append((row, start, length, -1 if short else first + k, offset))
+                offset += length
+            if len(made) >= 10_000:
+                yield _rows(made, PLAN)
+                made = []
+        if made:
+            yield _rows(made, PLAN)
+
+    return run
+
+
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
 
 
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -366,7 +345,7 @@ def _summed(dtype: np.dtype):
 
 
 def corpus(docs: DataFrame, id_col: str, text_col: str, path: str, ranks: str | None):
-    """The encoded documents (row, doc_id, size, ids), their number, the ids' type, and the broadcast idf, mean length and common terms."""
+    """The encoded documents (row, doc_id, size, ids), their number, the ids' type, and the broadcast idf, mean length and dense terms."""
     dtype = Encoder(path).dtype
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     encoded = keep(docs.mapInArrow(_encoded(path, ranks), ENCODED).withColumn("row", F.monotonically_increasing_id()))
@@ -375,23 +354,28 @@ def corpus(docs: DataFrame, id_col: str, text_col: str, path: str, ranks: str |
     df = np.zeros(1 + max((r.token for r in counts), default=0), np.int64)
     for r in counts:
         df[r.token] = r.n
-    common = df > COMMON * size.n
-    place = np.where(common, np.cumsum(common) - 1, -1)
+    place = np.full(len(df), -1)
+    dense = np.argsort(-df, kind="stable")[:DENSE]
+    place[dense[df[dense] > 0]] = np.arange(np.count_nonzero(df[dense]))
     return encoded, size.n, dtype, docs.sparkSession.sparkContext.broadcast((np.log1p((size.n - df + 0.5) / (df + 0.5)), float(size.mean), place))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks: str | None = None, every: int = EVERY) -> DataFrame:
     """Where each document's ids go: a row per piece, with the sequence and the offset in it.
 
     1. One pass encodes every text; an id 0 ends each document. The result is kept.
     2. Document frequencies and the mean length, of whole documents; there are as many terms as the vocabulary has ids,
        so they are collected and broadcast.
-    3. Each document's NEAR best neighbours by BM25, with all its terms, over all documents (see neighbours).
-    4. One task goes through the documents' sizes and neighbours, without texts or ids, and fills the windows (see
-       filled): whether a neighbour is unused hangs on all windows before. Only the last sequence can be short.
+    3. The seeds, documents whose id `every` divides, are asked of a sharded index of all whole documents, with all their
+       terms. A document is a neighbour of the one seed that retrieves it best, so it is unused by any other (see Shard).
+    4. Documents are sorted by seed, and by how well it retrieves them. Along this order windows are filled (see filled),
+       in parts of it: a seed with very many neighbours is cut too. The short windows at the parts' ends, one of each,
+       are put together by one task.
     5. The pieces meet their ids again for the checksums.
 
-    Nulls: a null text is the id 0 alone; null ids are carried. Repeated rows are packed each. Other columns are
+    Nulls: a null text is the id 0 alone; null ids are carried, and are no seeds. Ties: of seeds that retrieve a document equally well
+    the first row's counts, documents that a seed retrieves equally well go by row. Repeated rows, and different texts of one id, are
+    packed each. A very long text is cut into as many windows as it fills. Without any seed the documents are packed as they come. Other columns are
     not read. An empty table gives no rows.
     """
     if path is None:
@@ -399,7 +383,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     encoded, n, dtype, held = corpus(docs, id_col, text_col, path, ranks)
     if not n:
         return docs.sparkSession.createDataFrame([], PACKED)
-    near = neighbours(encoded, n, dtype, held)
-    plan = cut(near.repartition(1).sortWithinPartitions("row").mapInArrow(_planned, PLAN))
+    found = cut(retrieved(encoded, n, dtype, held, every))
+    order = ["seed", F.desc("best"), "row"]
+    stream = found.repartitionByRange(*order).sortWithinPartitions(*order).select("row", F.lit(0).cast("long").alias("start"), "size")
+    plan = cut(stream.mapInArrow(_planned(False), PLAN))
+    ends = plan.where("window < 0").select("row", "start", "length").repartition(1).sortWithinPartitions("row", "start")
+    plan = plan.where("window >= 0").unionByName(ends.mapInArrow(_planned(True), PLAN))
     pieces = plan.groupBy("row").agg(F.collect_list(F.struct("start", "length", "window", "offset")).alias("pieces"))
     return encoded.join(pieces, "row").select("doc_id", "ids", "pieces").mapInArrow(_summed(dtype), PACKED)
