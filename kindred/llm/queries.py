@@ -120,28 +120,34 @@ WITH s AS (
     lambda x: CASE WHEN regexp_matches(x, '[0-9@]') THEN '<*>' ELSE x END) AS t
   FROM l
 ), d AS (
-  SELECT t, len(t) AS n, CASE WHEN len(t) < 8 THEN 5 ELSE 3 END AS need, count(DISTINCT doc_id) AS docs, min(doc_id) AS first
-  FROM m WHERE len(t) >= 3 GROUP BY t
-), v AS (
-  SELECT *, t[1:3] AS lead, sum(docs) OVER leaf AS together, count(*) OVER leaf AS kinds FROM d WINDOW leaf AS (PARTITION BY n, t[1:3])
-), w AS (
-  SELECT row_number() OVER () AS k, * FROM v WHERE n >= 6 AND kinds > 1 AND together >= need
+  SELECT t, n, CASE WHEN worth < 3 THEN 10 WHEN worth < 8 THEN 5 WHEN worth < 50 THEN 3 ELSE 2 END AS need,
+    CASE WHEN n < 8 THEN 5 ELSE 3 END AS least, docs, first
+  FROM (
+    SELECT t, len(t) AS n, greatest(len(t), length(array_to_string(t, ' ')) // 6) AS worth, count(DISTINCT doc_id) AS docs, min(doc_id) AS first
+    FROM m WHERE len(t) > 0 GROUP BY t
+  )
+), sides AS (
+  SELECT row_number() OVER () AS k, t, n, docs, first, least, {'n': n, 'side': 'head', 'at': t[1:3]} AS leaf, t[4:] AS own FROM d WHERE n >= 6
+  UNION ALL
+  SELECT -row_number() OVER () AS k, t, n, docs, first, least, {'n': n, 'side': 'tail', 'at': t[-3:]} AS leaf, t[:-4] AS own FROM d WHERE n >= 6
+), often AS (
+  SELECT * FROM sides QUALIFY sum(docs) OVER (PARTITION BY leaf) >= least AND count(*) OVER (PARTITION BY leaf) > 1
 ), tokens AS (
-  SELECT k, n, lead, docs, generate_subscripts(t, 1) AS place, unnest(t) AS token FROM w
+  SELECT k, leaf, n, least, docs, generate_subscripts(own, 1) AS place, unnest(own) AS token FROM often
 ), counts AS (
-  SELECT n, lead, place, token, sum(docs)::BIGINT AS docs FROM tokens GROUP BY ALL
-), places AS (
-  SELECT n, lead, place, max({'docs': docs, 'token': token}) AS top, sum(docs)::BIGINT AS together FROM counts GROUP BY ALL
-), hits AS (
-  SELECT k, count(*) FILTER (token = top.token AND top.docs >= 0.9::DOUBLE * places.together) AS hits
-  FROM tokens JOIN places USING (n, lead, place) GROUP BY k
-), alike AS (
-  SELECT w.* FROM w JOIN hits USING (k) WHERE hits - 3 >= greatest(0.6::DOUBLE * (n - 3), 3)
+  SELECT k, n, least, place, token, sum(docs) OVER (PARTITION BY leaf, place, token)::BIGINT AS support FROM tokens
+), levels AS (
+  SELECT k, list(CASE WHEN 2 * support >= level AND support >= 3 THEN token END ORDER BY place) AS template FROM (
+    SELECT *, list_sort(list(support) OVER (PARTITION BY k), 'DESC')[greatest((6 * (n - 3) + 9) // 10, 3)] AS level FROM counts
+  ) WHERE level >= least GROUP BY k
+), firsts AS (
+  SELECT leaf, template, least, first, max(docs) AS docs FROM often JOIN levels USING (k) GROUP BY ALL
 ), found AS (
-  SELECT n, lead, min(first) AS first FROM alike GROUP BY n, lead, need HAVING sum(docs) >= need
+  SELECT leaf, template, min(first) AS first FROM firsts GROUP BY leaf, template, least HAVING sum(docs) >= least
 ), gone AS (
   SELECT t, min(first) AS first FROM (
-    SELECT t, first FROM d WHERE docs >= need UNION ALL SELECT alike.t, found.first FROM alike JOIN found USING (n, lead)
+    SELECT t, first FROM d WHERE docs >= need
+    UNION ALL SELECT often.t, found.first FROM often JOIN levels USING (k) JOIN found USING (leaf, template)
   ) GROUP BY t
 ), marked AS (
   SELECT m.doc_id, m.place, m.line, coalesce(m.doc_id <> gone.first, false) AS dropped FROM m LEFT JOIN gone USING (t)
