@@ -43,10 +43,14 @@ def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_segment_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write(table(spark, sf_dir, "pages"), path)
+    warc.write(table(spark, sf_dir, "pages"), path, segment=SEGMENT)
     return warc.summary(warc.read(spark, path))
 
 
+#: Small enough that most pages have continuation records.
+SEGMENT = 1024
+
+
 @query
 def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.NearDuplicates(table(spark, sf_dir, "documents")).groups()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +23,10 @@ LEAST_SHARED = 100
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
+#: A gzip member of no bytes: what the text writer puts behind each row, so behind each record's member.
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+_CHUNK_SIZE = re.compile(rb"[0-9A-Fa-f]+")
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
@@ -34,7 +39,10 @@ def unchunked(body: bytes) -> bytes:
     out, at = [], 0
     while True:
         stop = body.index(b"\r\n", at)
-        size = int(body[at:stop].split(b";")[0], 16)
+        digits = body[at:stop].split(b";")[0].rstrip(b" \t")
+        if not _CHUNK_SIZE.fullmatch(digits):
+            raise ValueError("a chunk's size is not a hexadecimal number")
+        size = int(digits, 16)
         at = stop + 2 + size
         if size == 0:
             trailer = body[stop + 2 :]
@@ -96,14 +104,18 @@ def records(record_id: str, uri: str | None, payload: bytes, digest: str, refers
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
           date: str = "2024-01-01T00:00:00Z", segment: int = SEGMENT) -> None:
-    """Writes a record per row, as gzip files of FILE_RECORDS records at most.
+    """Writes a record per row, as .warc.gz files of FILE_RECORDS records at most, each record a gzip member of its own.
+
+    Between the members stands an empty one, which readers of gzip skip: the text writer ends each row with something.
 
     Of rows with equal payloads of LEAST_SHARED bytes or more, those with the smallest id are responses and the
     others revisit it. Which, is found on digests alone, and the payloads are moved once, by the id. Record
     ids are urn:page:<id>:<digest's start>:<n>, n counting repeated rows.
 
     Nulls: a null payload is empty; a null url leaves the field out; a null id is written as "null", and is no
-    group's smallest. Other columns are not read. An empty table gives an empty archive.
+    group's smallest. Repeated rows, and rows of equal ids, are records each; of those with the group's smallest id, all are responses. A
+    very long payload is one row in memory, as a whole and as its records, whose blocks have `segment` bytes at most. Other columns are
+    not read. An empty table gives an empty archive.
     """
     rows = pages.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("pid"), F.col(id_col).cast("long").alias("id"),
@@ -123,18 +135,28 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         for batch in batches:
             for i in range(0, batch.num_rows, 100):
                 some = batch.slice(i, 100).to_pydict()
-                out = [x for row in zip(*(some[c] for c in ("record_id", "url", "payload", "digest", "refers")), strict=True)
+                out = [gzip.compress(x + END, 6, mtime=0) for row in zip(*(some[c] for c in ("record_id", "url", "payload", "digest", "refers")), strict=True)
                        for x in records(*row, date, segment)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    # A row of the text writer is the row's bytes and then the line end; here these are WARC's record and its end.
+    # The text writer writes a row's bytes as they are, and then its line end.
     (rows.mapInArrow(packed, "record binary").select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).mode("error").text(path))
+     .write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", FILE_RECORDS).mode("error").text(path))
+    _renamed(pages.sparkSession, path)
+
+
+def _renamed(spark: SparkSession, path: str) -> None:
+    """The files' names end as archives' do. A rename each, by the file system that Spark wrote to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(at):
+        if (name := f.getPath().getName()).endswith(".txt"):
+            fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(at, name.removesuffix(".txt") + ".warc.gz"))
 
 
 PARSED = (
     "record_id string, type string, uri string, refers_to string, payload_digest string, origin string, segment int, "
-    "total long, block binary"
+    "total long, block binary, error string"
 )
 
 
@@ -162,14 +184,23 @@ def parse(data: bytes) -> Iterator[tuple]:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
+    """All records of each file; where one is broken, those before it and a row that says so."""
+    kinds = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary(), pa.string()]
     names = [x.split()[0] for x in PARSED.split(", ")]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
     for batch in batches:
-        for data in batch.column(0):
-            rows = list(parse(data.as_py()))
-            for i in range(0, len(rows), 200):
-                cols = zip(*rows[i : i + 200], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        for path, data in zip(*batch.columns, strict=True):
+            rows = []
+            try:
+                for row in parse(data.as_py()):
+                    rows.append((*row, None))
+                    if len(rows) == 200:
+                        yield made(rows)
+                        rows = []
+            except (ValueError, KeyError, EOFError, OSError, zlib.error) as e:
+                rows.append((*[None] * 9, f"{path.as_py()}: {e!r}"))
+            if rows:
+                yield made(rows)
 
 
 READ = "record_id string, type string, uri string, refers_to string, payload_digest string, stated_bytes long, payload binary, error string"
@@ -188,6 +219,8 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         payload, stated = payload_of(r["block"])
                         if r["type"] == "revisit":
                             payload = None
+                        elif stated not in (None, len(payload)):
+                            payload, error = None, "the payload's length is another"
                         elif r["payload_digest"] not in (None, "sha256:" + hashlib.sha256(payload).hexdigest()):
                             payload, error = None, "the payload's digest is another"
                     except ValueError as e:
@@ -204,12 +237,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Whole records are decoded where they are read. Segments meet by their origin's id, are put in order and
     joined if they are numbered 1, 2, ... n and add up to the total that the last one states. A group is one
     record, so no larger than its payload. A record whose segments are missing, repeated or of the wrong total,
-    whose chunks are broken or whose digest differs, comes back with an error and a null payload.
+    whose chunks are broken, or whose length or digest differs, comes back with an error and a null payload. A file that is no
+    archive from some place on gives its records up to there, and a row with nothing but the error, which names the file.
+
+    Nulls: what a record does not state is null. Repeated records come back each if they are whole; segments of records
+    of one id are one record's, and so repeated. A file is read as a whole, by one task, so files should be of bounded size, as those that
+    write() makes are; a very long record is one row. An archive without files or records gives no rows.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
-    parsed = spark.read.format("binaryFile").schema(schema).load(path).select("content").mapInArrow(_parsed, PARSED)
+    parsed = spark.read.format("binaryFile").schema(schema).load(path).select("path", "content").mapInArrow(_parsed, PARSED)
     head = ["record_id", "type", "uri", "refers_to", "payload_digest"]
-    whole = parsed.where("segment IS NULL").select(*head, "block", F.lit(None).cast("string").alias("error"))
+    whole = parsed.where("segment IS NULL").select(*head, "block", "error")
     one = F.struct("segment", "total", "block", *(F.when(F.col("segment") == 1, F.col(c)).alias(c) for c in head[1:]))
     parts = parsed.where("segment IS NOT NULL").groupBy(F.coalesce("origin", "record_id").alias("record_id")).agg(
         F.array_sort(F.collect_list(one)).alias("s"))

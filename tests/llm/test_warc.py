@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import zlib
 
 import pytest
 from hypothesis import given
@@ -14,7 +15,8 @@ def test_chunks_round_trip(data, size):
     assert warc.unchunked(warc.chunked(data, size)) == data
 
 
-@pytest.mark.parametrize("bad", [b"", b"5\r\nabc\r\n0\r\n\r\n", b"3\r\nabcd\r\n0\r\n\r\n", b"zz\r\n", b"3\r\nabc\r\n0\r\nx", b"0\r\n"])
+@pytest.mark.parametrize("bad", [b"", b"5\r\nabc\r\n0\r\n\r\n", b"3\r\nabcd\r\n0\r\n\r\n", b"zz\r\n", b"3\r\nabc\r\n0\r\nx", b"0\r\n",
+                                 b"-2\r\nabc\r\n0\r\n\r\n", b"0x3\r\nabc\r\n0\r\n\r\n", b"+3\r\nabc\r\n0\r\n\r\n", b" 3\r\nabc\r\n0\r\n\r\n", b"1_0\r\n0123456789abcdef\r\n0\r\n\r\n", b"\r\nabc"])
 def test_broken_chunks(bad):
     with pytest.raises(ValueError):
         warc.unchunked(bad)
@@ -64,3 +66,49 @@ def test_broken_segments(spark, tmp_path):
 def test_empty(spark, tmp_path):
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.summary(warc.read(spark, str(tmp_path / "w"))).count() == 0
+
+
+def test_pages_have_continuations(spark, tmp_path):
+    """Of the test table, as the query writes it."""
+    from kindred.llm.queries import SEGMENT
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    warc.write(pages, str(tmp_path / "w"), segment=SEGMENT)
+    files = list((tmp_path / "w").glob("part*"))
+    assert files and all(f.name.endswith(".warc.gz") for f in files)
+    kinds = [p[1] for f in files for p in warc.parse(f.read_bytes())]
+    origins = {p[5] for f in files for p in warc.parse(f.read_bytes()) if p[1] == "continuation"}
+    assert kinds.count("response") + kinds.count("revisit") == pages.count()
+    assert len(origins) > 0.5 * kinds.count("response") and kinds.count("continuation") > len(origins)
+    want = {r.page_id: r.html or "" for r in pages.collect()}
+    got = {int(r.record_id.split(":")[2]): r.payload.decode() for r in warc.read(spark, str(tmp_path / "w")).where("type = 'response'").collect()}
+    assert all(want[k] == v for k, v in got.items()) and len(got) == kinds.count("response")
+
+
+def test_a_member_per_record(spark, tmp_path):
+    warc.write(spark.createDataFrame([(k, "u", "x" * 3000) for k in range(3)], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), segment=1000)
+    (file,) = (tmp_path / "w").glob("part*")
+    data, members = file.read_bytes(), []
+    while data:
+        d = zlib.decompressobj(31)
+        members.append(d.decompress(data))
+        data = d.unused_data
+    full = [m for m in members if m]
+    assert len(full) == 6 and all(m.startswith(b"WARC/1.1") and m.endswith(b"\r\n\r\n") and len(list(warc.parse(m))) == 1 for m in full)
+
+
+def test_broken_files(spark, tmp_path):
+    good = next(iter(warc.records("urn:page:1:d:1", None, b"abc", hashlib.sha256(b"abc").hexdigest(), None, "d", 1000))) + b"\r\n\r\n"
+    for name, data in {"a": b"nonsense", "b": gzip.compress(good) + b"\x1f\x8b\x08broken", "c": gzip.compress(good)[:-9], "d": good + b"WARC/1.1\r\nContent-Length: 99\r\n\r\nabc",
+                       "e": b"", "f": good.replace(b"Content-Length", b"Content-Lengths")}.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert sorted(r.error.split(":")[1].rsplit("/", 1)[-1] for r in rows if r.error) == [f"{x}.warc.gz" for x in "abcdf"]
+    assert [r.payload for r in rows if not r.error] == [b"abc"]
+
+
+def test_payload_over_the_real_segment(spark, tmp_path):
+    text = "".join(random.Random(4).choices("abcdefgh ", k=3 * warc.SEGMENT))
+    warc.write(spark.createDataFrame([(1, "u", text)], "page_id long, url string, html string"), str(tmp_path / "w"))
+    (row,) = warc.read(spark, str(tmp_path / "w")).collect()
+    assert row.error is None and row.payload.decode() == text
