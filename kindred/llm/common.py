@@ -13,10 +13,12 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; in local mode one of our own, if none is set."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="kindred-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
@@ -29,18 +31,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_kept: list[DataFrame] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Computes df once onto the executors' disks, since several steps read it.
 
     What an executor takes with it is computed again from what df is made of. So this is for a first pass over the
-    input, whose rows are always the same, and cut() for all that follows. It stays until the session ends or
-    spark.catalog.clearCache().
+    input, whose rows are always the same, and cut() for all that follows. It stays until release(), or the session ends.
     """
     df = df.persist(StorageLevel.DISK_ONLY)
     df.count()  # else steps that run at once each begin to compute it
+    _kept.append(df)
     return df
 
 
+def release(spark: SparkSession) -> None:
+    """Takes what operators have kept in this session off the executors' disks: to be called when their results are written."""
+    mine = [df for df in _kept if df.sparkSession is spark]
+    _kept[:] = [df for df in _kept if df.sparkSession is not spark]
+    for df in mine:
+        df.unpersist()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate files, by the file system that Spark wrote it to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an edge list, as (node, root): root is the smallest node of its component.
 

@@ -40,7 +40,7 @@ MIN_WORDS_CHARS, MIN_WORDS_WORDS = 20, 60
 MAX_CHARS, MAX_WORDS = (0.26, 0.5), (0.21, 1.0)
 
 PROFILE = (
-    "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "doc_id {}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "chars array<int>, words array<int>"
 )
 
@@ -112,7 +112,7 @@ def _distance(p: str, q: str):
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          max_chars: tuple[float, float] = MAX_CHARS, max_words: tuple[float, float] = MAX_WORDS) -> DataFrame:
+          max_chars: tuple[float, float] = MAX_CHARS, max_words: tuple[float, float] = MAX_WORDS, id_type: str = "long") -> DataFrame:
     """A row per document: doc_id, the base counts, base_failed, the two distances and kept.
 
     References: for each language with a list of common words, the mean histogram of all its documents that
@@ -122,12 +122,12 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Nulls: a null text has no words, so base_failed; a null or unknown language uses the shared reference; ids
     are carried as they are. Texts under the guards have a null distance and are judged by the base rules
-    alone. Repeated rows are judged alike. Other columns are not read. An empty table gives no rows.
+    alone. Repeated rows are judged alike, whatever their ids. A very long text is one row in memory, with a few numbers a word. Other columns are not read. An empty table gives no rows.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+    docs = df.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                      F.col(lang_col).cast("string").alias("lang"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    seen = keep(docs.mapInArrow(_profile, PROFILE)).withColumns(
+    seen = keep(docs.mapInArrow(_profile, PROFILE.format(id_type))).withColumns(
         {"base_failed": failed, "chars": _shares("chars"), "words": _shares("words")})
     fit = seen.where(~F.col("base_failed") & (F.col("n_words") >= MIN_WORDS_WORDS))
 

@@ -7,8 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import chat, embeddings, licences, minhash, mixing, packing, quality, sharding, templates, warc
 from .common import shared_dir
 
@@ -172,11 +170,10 @@ def op1_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    """The stages lie in corpus_pipeline.py beside this package; it has no SQL twin."""
+    import corpus_pipeline
 
-
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 ORACLES["op3_segment_reassembly"] = """
