@@ -72,7 +72,7 @@ def _varied(docs: DataFrame, lines: DataFrame) -> DataFrame:
     Only leaves that occur often enough and in more than one spelling are looked at, and of these each spelling
     once, in the first document that has it. A token's support is the number of documents that have it at its place, in its leaf.
     The constants of a line are the tokens of at least half the support that ALIKE of its tokens reach, and of
-    DOCS_TEMPLATE documents; the others are fields, and lines of a leaf that read the same then are one template. So a leaf may hold many, frequent and rare
+    DOCS_TEMPLATE documents; the others are fields, and lines of a leaf with the same constants are one template. So a leaf may hold many, frequent and rare
     ones, each known by the support of its own constants. Hot leaves, tokens and templates are grouped by partial sums, and
     what is joined to them was cut before, so that the joins can be split.
     """
@@ -86,19 +86,17 @@ def _varied(docs: DataFrame, lines: DataFrame) -> DataFrame:
     spelled = _filtered(_lines(docs), wanted).join(firsts, ["id", "head", "hash"]).select("head", "hash", F.split("line", " ").alias("tokens")).dropDuplicates(["head", "hash"])
     spelled = cut(spelled)
     own = lambda n: F.when(F.col("at_head"), F.slice("tokens", LEADING + 1, n)).otherwise(F.slice("tokens", 1, n))
-    told = cut(wanted.join(spelled, ["head", "hash"]).withColumn("own", own(F.col("n") - LEADING)).drop("tokens", "at_head"))
+    told = cut(wanted.join(spelled, ["head", "hash"]).select("leaf", "head", "hash", "docs", F.transform(own(F.col("n") - LEADING), lambda x: F.xxhash64(x)).alias("own")))
     placed = told.select("leaf", "head", "hash", "docs", F.posexplode("own").alias("place", "token"))
     support = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).where(F.col("support") >= DOCS_TEMPLATE)
     support = cut(support)
     known = placed.drop("docs").join(support, ["leaf", "place", "token"]).groupBy("leaf", "head", "hash").agg(
-        F.collect_list(F.struct("place", "support")).alias("s"))
-    n = F.size("own")
-    most = F.greatest(F.ceil((ALIKE * 10 * n) / 10), F.lit(LEAST_ALIKE)).cast("int")
+        F.collect_list(F.struct("place", "token", "support")).alias("s"))
+    most = F.greatest(F.ceil(ALIKE * 10 * (F.col("n") - LEADING) / 10), F.lit(LEAST_ALIKE)).cast("int")
     level = F.try_element_at(F.sort_array(F.transform("s", lambda x: x["support"]), asc=False), F.col("most"))
-    fixed = F.transform(F.filter("s", lambda x: 2 * x["support"] >= F.col("level")), lambda x: x["place"])
-    read = F.array_join(F.transform("own", lambda x, i: F.when(F.array_contains(F.col("fixed"), i), x).otherwise("<*>")), " ")
-    alike = told.join(known, ["leaf", "head", "hash"]).withColumn("most", most).withColumn("level", level).where(F.col("level") >= least)
-    alike = cut(alike.withColumn("fixed", fixed).select("leaf", "head", "hash", "n", "docs", "id", F.xxhash64("leaf", read).alias("template")))
+    fixed = F.transform(F.filter("s", lambda x: 2 * x["support"] >= F.col("level")), lambda x: F.struct(x["place"], x["token"]))
+    alike = wanted.drop("at_head").join(known, ["leaf", "head", "hash"]).withColumn("most", most).withColumn("level", level).where(F.col("level") >= least)
+    alike = cut(alike.select("leaf", "head", "hash", "n", "docs", "id", F.xxhash64(F.sort_array(fixed)).alias("template")))
     # Of spellings that one document brings first, one counts: a list within a document is not many documents.
     found = alike.groupBy("leaf", "template", "n", "id").agg(F.max("docs").alias("docs")).groupBy("leaf", "template", "n").agg(F.sum("docs").alias("docs"), F.min("id").alias("first"))
     found = cut(found.where(F.col("docs") >= least).select("leaf", "template", "first"))
