@@ -14,6 +14,7 @@ import corpus_pipeline as pipeline
 from kindred.llm import packing, quality
 
 from .test_minhash import brute
+from .test_minhash import plain as plain_shingles
 from .test_mixing import fill
 from .test_quality import plain as counts
 from .test_templates import plain as lines_left
@@ -83,11 +84,36 @@ def test_line_dedup(stages):
 
 def test_near_dedup(stages):
     before, after, _ = stages[2]
-    of = brute([(r.doc_id, r.text) for r in before])
+    of = brute([(r.doc_id, r.text) for r in before], pipeline.NEAR)
     assert sorted(r.doc_id for r in after) == sorted({i for i, _, c in of if i == c})
     assert {tuple(r) for r in after} <= {tuple(r) for r in before}
 
 
+def test_near_dedup_bound(spark):
+    """Pairs between 0.80 and 0.85 are near copies; different texts of one id stay or go together, equal ones collapse."""
+    base = [f"w{k}" for k in range(104)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:50], "x", *base[51:], *"abcdefghij"])), (3, " ".join([*base[:40], *"klmnopqr", *base[48:]]))]
+    rows += [(5, "one text of the id five " + " ".join(base[:9])), (5, "quite another one of this id"), (5, "quite another one of this id"), (None, "no id"), (None, "no id")]
+    sets = [plain_shingles(t) for _, t in rows]
+    sim = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.8 <= sim(0, 1) < 0.85 and sim(0, 2) < 0.8
+    df = spark.createDataFrame([(i, t, "en", s, 1) for k, (i, t) in enumerate(rows) for s in [f"s{k}"]], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text, r.source) for r in pipeline.near_dedup(spark, df.repartition(3), "").collect()), key=str)
+    assert got == sorted([(1, rows[0][1], "s0"), (3, rows[2][1], "s2"), (5, rows[3][1], "s3"), (5, rows[4][1], "s4"), (None, "no id", "s6"), (None, "no id", "s7")], key=str)
+
+
+def test_clashing_columns_and_long_texts(spark):
+    """All stages but the last carry other columns, whatever their names, and whole texts."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(60)
+    long = docs.where("length(text) > 2000").limit(1).selectExpr("990000 AS doc_id", "repeat(concat(text, ' '), 1) AS text", "lang", "source", "n_chars")
+    more = {c: F.lit(k) for k, c in enumerate(["id", "size", "key", "kept", "times", "place", "hash", "n", "v", "row"])}
+    df = docs.unionByName(long).withColumns(more)
+    for _, stage in pipeline.STAGES[:4]:
+        out = stage(spark, df, DIR)
+        assert out.columns == df.columns and out.count() > 0
+    assert pipeline.STAGES[4][1](spark, df, DIR).count() > 0
+
+
 def test_mixing(stages):
     before, after, _ = stages[3]
     words = lambda t: len((t or "").encode().split())
