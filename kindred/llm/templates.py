@@ -94,9 +94,11 @@ def _varied(docs: DataFrame, lines: DataFrame) -> DataFrame:
         F.collect_list(F.struct("place", "token", "support")).alias("s"))
     most = F.greatest(F.ceil(ALIKE * 10 * (F.col("n") - LEADING) / 10), F.lit(LEAST_ALIKE)).cast("int")
     level = F.try_element_at(F.sort_array(F.transform("s", lambda x: x["support"]), asc=False), F.col("most"))
-    fixed = F.transform(F.filter("s", lambda x: 2 * x["support"] >= F.col("level")), lambda x: F.struct(x["place"], x["token"]))
-    alike = wanted.drop("at_head").join(known, ["leaf", "head", "hash"]).withColumn("most", most).withColumn("level", level).where(F.col("level") >= least)
-    alike = cut(alike.select("leaf", "head", "hash", "n", "docs", "id", F.xxhash64(F.sort_array(fixed)).alias("template")))
+    # Within the lambda the level is a value: as a column it would be found again for each token.
+    fixed = lambda v: F.transform(F.filter("s", lambda x: 2 * x["support"] >= v), lambda x: F.struct(x["place"], x["token"]))
+    read = F.transform(F.array(level), lambda v: F.struct(v.alias("level"), F.xxhash64(F.sort_array(fixed(v))).alias("template")))
+    alike = wanted.drop("at_head").join(known, ["leaf", "head", "hash"]).withColumn("most", most).select("leaf", "head", "hash", "n", "docs", "id", F.explode(read).alias("r"))
+    alike = cut(alike.where(F.col("r.level") >= least).select("leaf", "head", "hash", "n", "docs", "id", "r.template"))
     # Of spellings that one document brings first, one counts: a list within a document is not many documents.
     found = alike.groupBy("leaf", "template", "n", "id").agg(F.max("docs").alias("docs")).groupBy("leaf", "template", "n").agg(F.sum("docs").alias("docs"), F.min("id").alias("first"))
     found = cut(found.where(F.col("docs") >= least).select("leaf", "template", "first"))
