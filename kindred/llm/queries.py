@@ -164,8 +164,8 @@ SELECT doc_id, n_lines, n_dropped, strlen(kept) AS kept_bytes, md5(kept) AS kept
 
 @query
 def op1_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licences.scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), "confirmed_share")
+    found = licences.scan(table(spark, sf_dir, "documents"), unknown=True)
+    return found.select("doc_id", "paragraph", "whole", "family", F.round("probability", 6).alias("probability"), "confirmed_share")
 
 
 @query

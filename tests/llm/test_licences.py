@@ -99,3 +99,51 @@ def test_prefilter_loses_nothing(spark, model):
 
 def test_empty(spark, model):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string"), model=model).count() == 0
+
+
+def test_whole_notices_held_out(spark, model):
+    """No training row is made of these."""
+    rows = [r for r in L.training(7) if r[2]]
+    assert not {t for t, _, _ in rows} & {t for t, _, held in L.training(7) if not held}
+    df = spark.createDataFrame(rows, "text string, name string, held boolean").withColumn("grams", L.grams(F.col("text")))
+    got = model.scored(df.withColumn("uid", F.monotonically_increasing_id())).toPandas()
+    pred = got.family.where(got.probability >= model.least, L.UNKNOWN)
+    known = got.name != L.UNKNOWN
+    assert (pred[known] == got.name[known]).mean() >= 0.9 and (pred[~known] == L.UNKNOWN).mean() >= 1 - 1 / L.FALSE - 0.02
+
+
+# Notices as projects write them, in no list of the module.
+WILD = [
+    ("MIT", "Foo is MIT licensed."), ("MIT", "This repository is released under the MIT License. See LICENSE for details."), ("MIT", "MIT licence; see COPYING"),
+    ("MIT", "The code in this directory is available under the MIT license."), ("Apache-2.0", "This project is licensed under the Apache License 2.0."),
+    ("Apache-2.0", "Source code is offered under Apache 2.0, see LICENSE.txt."), ("GPL", "Code is licensed under GPLv3."),
+    ("GPL", "The plugin is released under the GNU General Public License, version 2."), ("LGPL", "The library is distributed under the GNU Lesser General Public License."),
+    ("AGPL", "This server is free software under the GNU Affero General Public License."), ("BSD", "This module is BSD licensed."),
+    ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD", "Distributed under the terms of the 3-clause BSD License."), ("MPL-2.0", "Parts of this package fall under the Mozilla Public License, version 2.0."),
+    ("EUPL", "The software is published under the European Union Public Licence."), ("BSL-1.0", "The headers are covered by the Boost Software License, Version 1.0."),
+    ("CC-BY", "The text is licensed under CC BY 4.0, the code is not."), ("CC-BY-NC", "Images may be reused under CC BY-NC 4.0."),
+    ("CC-BY-SA", "Wiki content is available under the Creative Commons Attribution-ShareAlike License."), ("CC0", "The data are released under CC0 1.0."),
+    ("ISC", "This package is released under the ISC license."),
+    ("MIT", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+            ' IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE.'),
+]
+PROSE = ["The licence of the boat was renewed.", "The general public likes the new software version.", "All permission slips must be signed by the conditions of the school.",
+         "The committee released its report under pressure.", "A copy of the public record may be obtained at the office.", "Creative work is common at the foundation."]
+
+
+def test_notices_in_the_wild(spark, model):
+    rows = [(k, t) for k, (_, t) in enumerate(WILD)] + [(1000 + k, t) for k, t in enumerate(PROSE)]
+    got = L.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), model=model).collect()
+    found = {(r.doc_id, r.family) for r in got}
+    missed = [(f, t) for k, (f, t) in enumerate(WILD) if (k, f) not in found]
+    assert len(missed) <= 0.1 * len(WILD), missed
+    assert sum((k, f) not in {(j, WILD[j][0]) for j in range(len(WILD))} for k, f in found if k < 1000) <= 2
+    assert not [r for r in got if r.doc_id >= 1000]
+
+
+def test_unknown_is_told(spark, model):
+    """What is scored and no notice comes as unknown; what holds no telling word is not scored; lines are counted through paragraphs."""
+    rows = [(1, "First words.\n\nSecond one\nReleased under the MIT License.\n \nThe restaurant lost its license to sell alcohol."), (2, "nothing here"), (3, None), (4, "")]
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=model, unknown=True).collect() if not r.whole)
+    assert got == [(1, 3, "MIT"), (1, 5, "unknown")]
