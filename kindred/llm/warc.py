@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import cut
+
 #: A record's block has this many bytes at most; what is longer goes on in continuation records.
 SEGMENT = 64 << 10
 #: So a file has FILE_RECORDS * SEGMENT bytes at most, unpacked, and fits a worker.
@@ -20,6 +22,8 @@ FILE_RECORDS = 1000
 CHUNK = 4096
 #: Payloads from this size on are stored once.
 LEAST_SHARED = 100
+#: Tables of up to so many revisits (some 100 bytes a row) are broadcast; larger ones are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -122,11 +126,16 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
-    ids = rows.where(F.octet_length("payload") >= LEAST_SHARED).groupBy("pid", "id", "digest").count()
-    first = ids.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    seen = ids.join(first, "digest").where("NOT id <=> first AND first IS NOT NULL").select("pid", "digest", "first")
-    nth = F.row_number().over(W.partitionBy("pid", "digest").orderBy(F.lit(0)))
-    rows = rows.join(seen, ["pid", "digest"], "left").withColumn("nth", nth)
+    ids = rows.select("pid", "id", "digest", (F.octet_length("payload") >= LEAST_SHARED).alias("shared")).groupBy("pid", "id", "digest", "shared").count()
+    ids = cut(ids)
+    first = ids.where("shared").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    seen = ids.join(first, "digest", "left").withColumn("first", F.when(F.col("shared") & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")))
+    # Rows that revisit or repeat another; of the others the payload need not be moved to know what they are.
+    odd = cut(seen.where("first IS NOT NULL OR count > 1").select("pid", "digest", "first", "count"))
+    rows = rows.join(F.broadcast(odd) if odd.count() <= MOST_BROADCAST else odd, ["pid", "digest"], "left")
+    cols = ["pid", "url", "payload", "digest", "first"]
+    nth = F.row_number().over(W.partitionBy("pid", "digest").orderBy("url"))
+    rows = rows.where("count IS NULL OR count = 1").select(*cols, F.lit(1).alias("nth")).unionByName(rows.where("count > 1").select(*cols, nth.alias("nth")))
     urn = lambda pid, n: F.concat_ws(":", F.lit("urn:page"), pid, F.substring("digest", 1, 16), n)
     rows = rows.select(urn("pid", "nth").alias("record_id"), "url", "payload", "digest",
                        F.when(F.col("first").isNotNull(), urn(F.col("first").cast("string"), F.lit("1"))).alias("refers"))
@@ -183,24 +192,46 @@ def parse(data: bytes) -> Iterator[tuple]:
                bare("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length"), data[stop + 4 : at])
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All records of each file; where one is broken, those before it and a row that says so."""
-    kinds = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary(), pa.string()]
-    names = [x.split()[0] for x in PARSED.split(", ")]
-    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-    for batch in batches:
-        for path, data in zip(*batch.columns, strict=True):
-            rows = []
-            try:
-                for row in parse(data.as_py()):
-                    rows.append((*row, None))
+def assembled(records: Iterator[tuple], whole: bool) -> Iterator[tuple]:
+    """Records of a file: with `whole`, those without segments and those whose segments are all in the file, put together;
+    without, the segments that are left. What is broken comes with the former, as a row of nothing but the error."""
+    parts: dict[str, list[tuple]] = {}
+    try:
+        for r in records:
+            if r[6] is not None:
+                parts.setdefault(r[5] or r[0], []).append(r)
+            elif whole:
+                yield (*r, None)
+    except (ValueError, KeyError, EOFError, OSError, zlib.error) as e:
+        if whole:
+            yield (*[None] * 9, repr(e))
+    for origin, segments in parts.items():
+        segments.sort(key=lambda r: r[6])
+        block = b"".join(r[8] for r in segments)
+        complete = [r[6] for r in segments] == list(range(1, len(segments) + 1)) and segments[-1][7] == len(block)
+        if complete and whole:
+            yield (origin, *segments[0][1:5], None, None, None, block, None)
+        elif not complete and not whole:
+            yield from ((*r, None) for r in segments)
+
+
+def _parsed(whole: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary(), pa.string()]
+        names = [x.split()[0] for x in PARSED.split(", ")]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for batch in batches:
+            for path, data in zip(*batch.columns, strict=True):
+                rows = []
+                for row in assembled(parse(data.as_py()), whole):
+                    rows.append(row if row[-1] is None else (*row[:-1], f"{path.as_py()}: {row[-1]}"))
                     if len(rows) == 200:
                         yield made(rows)
                         rows = []
-            except (ValueError, KeyError, EOFError, OSError, zlib.error) as e:
-                rows.append((*[None] * 9, f"{path.as_py()}: {e!r}"))
-            if rows:
-                yield made(rows)
+                if rows:
+                    yield made(rows)
+
+    return run
 
 
 READ = "record_id string, type string, uri string, refers_to string, payload_digest string, stated_bytes long, payload binary, error string"
@@ -234,8 +265,8 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """An archive's response and revisit records, one row each, with the decoded payload or an error.
 
-    Whole records are decoded where they are read. Segments meet by their origin's id, are put in order and
-    joined if they are numbered 1, 2, ... n and add up to the total that the last one states. A group is one
+    Whole records are decoded where they are read, and so are those whose segments are all in one file. Other segments meet by their origin's id, are
+    put in order and joined if they are numbered 1, 2, ... n and add up to the total that the last one states. A group is one
     record, so no larger than its payload. A record whose segments are missing, repeated or of the wrong total,
     whose chunks are broken, or whose length or digest differs, comes back with an error and a null payload. A file that is no
     archive from some place on gives its records up to there, and a row with nothing but the error, which names the file.
@@ -245,11 +276,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     write() makes are; a very long record is one row. An archive without files or records gives no rows.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
-    parsed = spark.read.format("binaryFile").schema(schema).load(path).select("path", "content").mapInArrow(_parsed, PARSED)
+    files = spark.read.format("binaryFile").schema(schema).load(path).select("path", "content")
     head = ["record_id", "type", "uri", "refers_to", "payload_digest"]
-    whole = parsed.where("segment IS NULL").select(*head, "block", "error")
+    whole = files.mapInArrow(_parsed(True), PARSED).select(*head, "block", "error")
     one = F.struct("segment", "total", "block", *(F.when(F.col("segment") == 1, F.col(c)).alias(c) for c in head[1:]))
-    parts = parsed.where("segment IS NOT NULL").groupBy(F.coalesce("origin", "record_id").alias("record_id")).agg(
+    parts = files.mapInArrow(_parsed(False), PARSED).groupBy(F.coalesce("origin", "record_id").alias("record_id")).agg(
         F.array_sort(F.collect_list(one)).alias("s"))
     total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
     numbers = F.transform("s", lambda x: x["segment"])

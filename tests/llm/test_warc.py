@@ -112,3 +112,14 @@ def test_payload_over_the_real_segment(spark, tmp_path):
     warc.write(spark.createDataFrame([(1, "u", text)], "page_id long, url string, html string"), str(tmp_path / "w"))
     (row,) = warc.read(spark, str(tmp_path / "w")).collect()
     assert row.error is None and row.payload.decode() == text
+
+
+def test_segments_in_other_files(spark, tmp_path):
+    """Segments meet wherever they are."""
+    texts = {k: "".join(random.Random(k).choices("abcdefgh ", k=5000)) for k in range(1, 6)}
+    parts = [x + b"\r\n\r\n" for k, t in texts.items() for x in warc.records(f"urn:page:{k}:d:1", None, t.encode(), hashlib.sha256(t.encode()).hexdigest(), None, "d", 1000)]
+    random.Random(1).shuffle(parts)
+    for k in range(3):
+        (tmp_path / f"{k}.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in parts[k::3]))
+    got = {int(r.record_id.split(":")[2]): (r.payload.decode(), r.error) for r in warc.read(spark, str(tmp_path)).collect()}
+    assert got == {k: (t, None) for k, t in texts.items()}
