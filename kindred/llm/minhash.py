@@ -233,7 +233,7 @@ class NearDuplicates:
         rest = cut(rest.drop("c").join(roots.withColumnRenamed("node", "v"), "v", "left").select("x", "v", "n", "pos", F.coalesce("root", "v").alias("root")))
         parts = rest.groupBy("x", "root").count().groupBy("x").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("parts"))
         most = cut(parts.where("parts > 1").select("x", F.col("m.root").alias("most")))
-        apart = rest.join(most, "x")
+        apart = cut(rest.join(most, "x"))  # so that the join below, whose lists can be hot on both sides, can be split
         a, b = apart.where("root <> most").alias("a"), apart.alias("b")
         pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & F.expr(f"a.root <> b.root AND {self._reach()}"))
         pairs = pairs.select(F.least("a.v", "b.v").alias("u"), F.greatest("a.v", "b.v").alias("v")).distinct()
