@@ -91,7 +91,7 @@ ORACLES["op7_snapshot_collapse"] = """
 WITH c AS (
   SELECT conv_id, count(*) AS n_turns,
     list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS said
-  FROM conversations GROUP BY conv_id
+  FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM conversations) GROUP BY conv_id, own
 ), heads AS (
   SELECT said, n_turns, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY said, n_turns
 ), prefixes AS (
