@@ -19,14 +19,36 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _largest(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
+
+
+def _scaled(a: Column | str) -> Column:
+    """The vector over its largest element, so that squares of tiny or huge ones stay numbers; zero and infinite ones as they are."""
+    one = F.transform(F.array(_col(a)), lambda v: F.transform(F.array(_largest(v)), lambda m: F.when((m > 0) & (m < float("inf")), F.transform(v, lambda x: x / m)).otherwise(v))[0])
+    return F.when(_col(a).isNotNull(), one[0])
+
+
+def _norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(F.transform(a, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
+
+
 def l2_norm(a: Column | str) -> Column:
-    return F.sqrt(F.aggregate(F.transform(_col(a), lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
+    """Also of elements whose squares are no doubles."""
+    a = _col(a)
+    large = _largest(a)
+    return F.when((large > 0) & (large < float("inf")), large * _norm(_scaled(a))).otherwise(_norm(a))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity in double precision; 0 if either vector is zero, null if the lengths differ."""
-    na, nb, ab = l2_norm(a), l2_norm(b), dot(a, b)
-    return F.when(ab.isNull(), F.lit(None)).when((na == 0) | (nb == 0), 0.0).otherwise(ab / na / nb)
+    both = F.array(F.struct(_scaled(a).alias("a"), _scaled(b).alias("b")))
+
+    def of(x: Column) -> Column:
+        na, nb, ab = _norm(x["a"]), _norm(x["b"]), dot(x["a"], x["b"])
+        return F.when(ab.isNull(), F.lit(None)).when((na == 0) | (nb == 0), 0.0).otherwise(ab / na / nb)
+
+    return F.transform(both, of)[0]
 
 
 def euclidean(a: Column | str, b: Column | str) -> Column:
@@ -41,15 +63,29 @@ class Similarity:
     tile: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay."""
+    large = np.abs(x).max(axis=1, initial=0.0)
+    fit = np.isfinite(large) & (large > 0)
+    x = np.divide(x, large[:, None], out=x.astype(np.float64), where=fit[:, None])
+    norm = np.sqrt((x * x).sum(1))
+    return np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] != 0)
+
+
 def _cosine_tile(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
-    a = np.divide(a, na[:, None], out=np.zeros_like(a), where=na[:, None] != 0)
-    b = np.divide(b, nb[:, None], out=np.zeros_like(b), where=nb[:, None] != 0)
-    return a @ b.T
+    with np.errstate(invalid="ignore"):
+        return _units(a) @ _units(b).T
 
 
 def _distance_tile(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return -np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0.0))
+    """By expanded squares, but for near-equal vectors, where those cancel: their differences are taken."""
+    total = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    square = total - 2 * (a @ b.T)
+    x, y = np.nonzero(square <= 1e-6 * total)
+    for k in range(0, len(x), 4096):
+        i, j = x[k : k + 4096], y[k : k + 4096]
+        square[i, j] = ((a[i] - b[j]) ** 2).sum(1)
+    return -np.sqrt(np.maximum(square, 0.0))
 
 
 COSINE = Similarity(cosine, _cosine_tile)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ def splits(sizes: DataFrame, percentile: float) -> DataFrame:
 
 
 def _with_salts(df: DataFrame, splits: DataFrame) -> DataFrame:
+    """`splits` come as store.small gives them: if few, they are broadcast, so that rows of a hot bucket do not meet before they are salted."""
     keys = [c for c in splits.columns if c != "salts"]
     return df.join(splits, keys, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
 
@@ -48,12 +50,14 @@ def with_flips(df: DataFrame, flips: int, bits: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keys = [bytearray(x) for x in batch.column("sig_key").to_pylist()]
-            for key, k in zip(keys, batch.column("flip").to_pylist(), strict=True):
-                if k >= 0:
-                    key[k // 8] ^= 128 >> k % 8
-            at = batch.schema.get_field_index("sig_key")
-            yield batch.set_column(at, "sig_key", pa.array([bytes(x) for x in keys], pa.binary()))
+            column, flip = batch.column("sig_key"), batch.column("flip").to_numpy()
+            if not batch.num_rows:
+                continue
+            keys = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(batch.num_rows, -1).copy()
+            at = np.flatnonzero(flip >= 0)
+            keys[at, flip[at] // 8] ^= (128 >> flip[at] % 8).astype(np.uint8)
+            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(keys.shape[1]), len(keys), [None, pa.py_buffer(keys)])
+            yield batch.set_column(batch.schema.get_field_index("sig_key"), "sig_key", flat.cast(pa.binary()))
 
     wide = df.withColumn("flip", F.explode(F.concat(F.array(F.lit(-1)), F.slice(flip_order("id", bits), 1, min(flips, bits)))))
     return wide.mapInArrow(run, wide.schema)

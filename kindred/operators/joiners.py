@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions import hyperplanes
 from ..functions.vectors import COSINE, Similarity, _cosine_tile
+from ..sources.vectors import check
 from . import buckets, tiles
-from .signatures import keyed_rounds, matrix, positive
+from .signatures import keyed_rounds, matrix
+from .store import hold, small
 from .topk import distinct_pairs, distinct_top_k, first_per_key, top_k
 from .windows import signature_part, with_block, with_position
 
@@ -43,18 +45,29 @@ def _passing(value, threshold: float):
     return (value >= threshold) & ~F.isnan(value)
 
 
-def _exact(left: DataFrame, right: DataFrame, similarity: Similarity, threshold: float, ordered: bool) -> DataFrame:
+def sampled(df: DataFrame, fraction: float, seed: int) -> DataFrame:
+    """A Bernoulli sample without replacement: rows whose md5 of seed and id falls below the fraction, so the same whenever it is drawn."""
+    if fraction >= 1:
+        return df
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long")
+    return df.where(draw < fraction * 2.0**32)
+
+
+def _exact(left: DataFrame, right: DataFrame, similarity: Similarity, threshold: float, order: str | None) -> DataFrame:
+    """Pairs of a left row i and a right row j; `order` "<" or "<>" is asked of i and j."""
     if similarity.tile is None:
         a, b = (x.select(F.col("id").alias(i), F.col("vector").alias(f"v{i}")) for x, i in ((left, "i"), (right, "j")))
-        pairs = a.join(b, F.col("i") < F.col("j")) if ordered else a.crossJoin(b)
+        pairs = a.join(b, F.expr(f"i {order} j")) if order else a.crossJoin(b)
         return pairs.select("i", "j", similarity.column(F.col("vi"), F.col("vj")).alias("value")).where(_passing(F.col("value"), threshold))
 
     def kernel(ids_a, a, ids_b, b):
         s = similarity.tile(a, b)
         with np.errstate(invalid="ignore"):
             keep = s >= threshold
-        if ordered:
+        if order == "<":
             keep &= ids_a[:, None] < ids_b[None, :]
+        elif order:
+            keep &= ids_a[:, None] != ids_b[None, :]
         x, y = np.nonzero(keep)
         return ids_a[x], ids_b[y], s[x, y]
 
@@ -71,21 +84,25 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 class ExactSelfJoin:
     """All pairs i < j of similarity `threshold` or more. With `fraction` under 1 only a sample of rows looks for
     partners of larger ids among all rows. The cosine of equal vectors can be an ulp under 1: for a threshold of
-    1 give 1 - 1e-12 or so. `symmetric` gives each pair both ways."""
+    1 give 1 - 1e-12 or so. `symmetric` gives each pair both ways, and of a sample also those whose sampled row has the larger
+    id. `validate` fails on unequal widths and repeated ids before anything is joined."""
 
     threshold: float
     similarity: Similarity = COSINE
     fraction: float = 1.0
     seed: int = 0
     symmetric: bool = False
+    validate: bool = False
 
-    def join(self, vectors: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
-        """`sampled`, if given, are the rows to take as the sample."""
-        left = sampled
-        if left is None:
-            left = vectors if self.fraction >= 1 else vectors.sample(False, self.fraction, self.seed)
-        found = _exact(left, vectors, self.similarity, self.threshold, ordered=True)
-        return both_ways(found) if self.symmetric else found
+    def join(self, vectors: DataFrame, sample: DataFrame | None = None) -> DataFrame:
+        """`sample`, if given, are the rows to take as the sample."""
+        vectors = check(vectors) if self.validate else vectors
+        left = sampled(vectors, self.fraction, self.seed) if sample is None else sample
+        if not self.symmetric:
+            return _exact(left, vectors, self.similarity, self.threshold, "<")
+        if sample is None and self.fraction >= 1:
+            return both_ways(_exact(left, vectors, self.similarity, self.threshold, "<"))
+        return distinct_pairs(both_ways(_exact(left, vectors, self.similarity, self.threshold, "<>")))
 
 
 @dataclass(frozen=True)
@@ -99,9 +116,9 @@ class ExactQueryJoin:
     seed: int = 0
 
     def join(self, query: DataFrame, catalog: DataFrame) -> DataFrame:
-        query = query if self.query_fraction >= 1 else query.sample(False, self.query_fraction, self.seed)
-        catalog = catalog if self.catalog_fraction >= 1 else catalog.sample(False, self.catalog_fraction, self.seed + 1)
-        return _exact(query, catalog, self.similarity, self.threshold, ordered=False)
+        query = sampled(query, self.query_fraction, self.seed)
+        catalog = sampled(catalog, self.catalog_fraction, self.seed + 1)
+        return _exact(query, catalog, self.similarity, self.threshold, None)
 
 
 @dataclass(frozen=True)
@@ -111,7 +128,8 @@ class BlockedLsh:
     The bits of one signature are put into another order `permutations` times; each time the signatures are
     sorted and cut into blocks of `block_size`, and the pairs of each block are scored by cosine. All
     permutations are one plan. What is sorted are ids and signatures; the vectors are joined to their blocks'
-    numbers once, by id, and then go to the blocks. Blocks are bounded, so a task holds few rows. Ids are unique.
+    numbers once, by id, and then go to the blocks. Blocks are bounded, so a task holds few rows. Ids are unique: `validate` checks that, and the
+    widths. `partitions` deals the signatures anew before they are sorted, which adaptive execution rarely leaves to do.
     """
 
     min_similarity: float
@@ -120,6 +138,8 @@ class BlockedLsh:
     permutations: int
     seed: int = 42
     symmetric: bool = False
+    validate: bool = False
+    partitions: int | None = None
 
     def rounds(self, features: int) -> list[np.ndarray]:
         r = hyperplanes.planes(features, self.dimensions, self.seed)
@@ -128,7 +148,9 @@ class BlockedLsh:
     def blocks(self, vectors: DataFrame, features: int | None = None) -> DataFrame:
         if self.permutations < 1:
             raise ValueError("at least one permutation is needed")
+        vectors = check(vectors, features) if self.validate else vectors
         keyed = keyed_rounds(vectors, self.rounds(features or _features(vectors)), vectors=False)
+        keyed = hold(keyed if self.partitions is None else keyed.repartition(self.partitions))
         placed = with_position(keyed, ["sig_key", "id"], signature_part(), ["round"])
         return with_block(placed, self.block_size)
 
@@ -201,7 +223,8 @@ class BucketLsh:
         c = first_per_key(c, ["round", "sig_key"], ["id", "flip"], self.max_candidates)
         keys = ["round", "sig_key"]
         if self.salt_percentile is not None:
-            splits = buckets.splits(buckets.sizes(q, keys), self.salt_percentile)
+            q = hold(q)
+            splits = small(buckets.splits(buckets.sizes(q, keys), self.salt_percentile))
             q, c, keys = buckets.salted(q, splits, self.seed), buckets.replicated(c, splits), [*keys, "salt"]
         q = q.select(*keys, F.col("id").alias("i"), F.col("vector").alias("vi"))
         c = c.select(*keys, F.col("id").alias("j"), F.col("vector").alias("vj"))
@@ -230,15 +253,19 @@ class HammingJoin:
         r = hyperplanes.planes(features or _features(query), d, self.seed)
 
         def kernel(ids_a, a, ids_b, b):
-            a, b = (np.where(positive(x, r), np.float32(1), np.float32(-1)) for x in (a, b))
-            s = np.cos(np.pi * np.round((d - (a @ b.T).astype(np.float64)) / 2) / d)
-            rows = s if by_query else s.T
-            other = ids_b if by_query else ids_a
-            best = np.lexsort((np.broadcast_to(other, rows.shape), -rows), axis=1)[:, :k]
+            a, b = (np.unpackbits(x, axis=1, count=d).astype(np.float32) * 2 - 1 for x in (a, b))
+            apart = np.round((d - a @ b.T) / 2).astype(np.int64)
+            rows, other = (apart, ids_b) if by_query else (apart.T, ids_a)
+            # Distance first, then the smaller id: one number, so that the best k need no full sort.
+            rank = np.empty(len(other), np.int64)
+            rank[np.argsort(other, kind="stable")] = np.arange(len(other))
+            order = rows * len(other) + rank
+            best = np.argpartition(order, k - 1, axis=1)[:, :k] if k < len(other) else np.broadcast_to(np.arange(len(other)), order.shape)
             at = np.repeat(np.arange(len(rows)), best.shape[1]), best.ravel()
             x, y = at if by_query else at[::-1]
-            keep = s[x, y] >= low
-            return ids_a[x[keep]], ids_b[y[keep]], s[x, y][keep]
+            value = np.cos(np.pi * apart[x, y] / d)
+            keep = value >= low
+            return ids_a[x[keep]], ids_b[y[keep]], value[keep]
 
-        found = tiles.score(tiles.tiles(query), tiles.tiles(catalog), kernel, PAIRS, "right" if self.broadcast == "catalog" else "left")
+        found = tiles.score(tiles.bit_tiles(query, r), tiles.bit_tiles(catalog, r), kernel, PAIRS, "right" if self.broadcast == "catalog" else "left", np.uint8)
         return top_k(found, k, "i" if by_query else "j")

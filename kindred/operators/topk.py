@@ -22,7 +22,8 @@ def top_k(pairs: DataFrame, k: int, per: str = "i") -> DataFrame:
 
 
 def distinct_top_k(pairs: DataFrame, k: int) -> DataFrame:
-    return top_k(distinct_pairs(pairs), k)
+    """The k best of the distinct pairs per i. Pairs are dealt out by i once, which serves both the grouping and the ranks."""
+    return top_k(distinct_pairs(pairs.repartition("i")), k)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str], bound: int) -> DataFrame:

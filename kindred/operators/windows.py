@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import hold
+
 
 def with_position(df: DataFrame, order: list[str | Column], part: Column, by: list[str] | None = None) -> DataFrame:
     """Adds `pos`, from 0, in the given order among all rows, or among those equal in `by`.
 
     `part` is a coarse form of the order: it never falls where the order rises. Rows are numbered within
     its values, many tasks at once, and each value starts where the lower ones end. Its number of values is
-    the caller's to bound; the table of starts is as large as that, times the values of `by`.
+    the caller's to bound; the table of starts is as large as that, times the values of `by`. The rows are read twice, so they are
+    held.
     """
     by = by or []
-    rows = df.withColumn("__part", part)
+    rows = hold(df.withColumn("__part", part))
     before = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy(*by, "__part").count().select(*by, "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
     n = F.row_number().over(W.partitionBy(*by, "__part").orderBy(*order))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, hyperplanes
 from ..functions import vectors as V
-from ..operators import buckets, topk, windows
+from ..operators import buckets, store, topk, windows
 from ..operators.joiners import BlockedLsh, BucketLsh, ExactQueryJoin, ExactSelfJoin, HammingJoin
 from ..operators.signatures import bit_string, keyed_rounds, with_signature, with_signature_sql
 from ..sources import vectors as source
@@ -92,11 +92,26 @@ def nn_custom_column(spark, sf_dir):
     return _rounded(ExactSelfJoin(LOW, V.Similarity(V.dot)).join(_vectors(spark, sf_dir)))
 
 
-@query()
+def _sample_sql(c: str, fraction: float, seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}:' || {c}::VARCHAR), 1, 8))::BIGINT < {fraction}::DOUBLE * 4294967296"
+
+
+@query(f"WITH {PAIRS} SELECT i, j, round(value, 6) AS value FROM pairs WHERE i < j AND value >= {LOW} AND {_sample_sql('i', 0.3, 5)}")
 def sample_bernoulli(spark, sf_dir):
     return _rounded(ExactSelfJoin(LOW, fraction=0.3, seed=5).join(_vectors(spark, sf_dir)))
 
 
+@query(f"WITH {PAIRS} SELECT i, j, round(value, 6) AS value FROM pairs WHERE value >= {LOW} AND {_sample_sql('i', 0.4, 5)} AND {_sample_sql('j', 0.6, 6)}")
+def sample_both_sides(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _rounded(ExactQueryJoin(LOW, query_fraction=0.4, catalog_fraction=0.6, seed=5).join(v, v))
+
+
+@query(f"WITH {PAIRS} SELECT i, j, round(value, 6) AS value FROM pairs WHERE i <> j AND value >= {LOW} AND ({_sample_sql('i', 0.3, 5)} OR {_sample_sql('j', 0.3, 5)})")
+def sample_symmetric(spark, sf_dir):
+    return _rounded(ExactSelfJoin(LOW, fraction=0.3, seed=5, symmetric=True).join(_vectors(spark, sf_dir)))
+
+
 # Vector functions.
 @query(f"WITH {E} SELECT e.id, round(sqrt(list_dot_product(e.v, e.v)), 6) AS norm, round(list_dot_product(e.v, list_reverse(e.v)), 6) AS dot FROM e")
 def vec_norm_dot(spark, sf_dir):
@@ -370,3 +385,19 @@ SELECT 'w' || i AS word, 'w' || i || ' --> ' || string_agg('w' || j, ',' ORDER B
 def top_neighbours_report(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     return neighbour_report(ExactSelfJoin(LOW).join(v), v.select("id", F.concat(F.lit("w"), "id").alias("word")))
+
+
+EXAMPLE = BlockedLsh(0.5, 20, 200, 10)
+
+
+@query(f"""WITH best AS (SELECT * FROM ({_blocked_sql(EXAMPLE).replace(E, "e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, embedding::DOUBLE[] AS v FROM embeddings)")})
+  QUALIFY row_number() OVER (PARTITION BY i ORDER BY value DESC, j) <= 10),
+words AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, 'w' || vec_id AS word FROM embeddings)
+SELECT a.word, a.word || ' --> ' || string_agg(b.word, ',' ORDER BY value DESC, j) AS line FROM best JOIN words a ON a.id = i JOIN words b ON b.id = j GROUP BY a.word, i""")
+def text_file_report(spark, sf_dir):
+    """The example application, from a file of lines on, at its parameters."""
+    path = store.scratch(spark)
+    lines = _vectors(spark, sf_dir).select("id", F.concat_ws(" ", F.concat(F.lit("w"), "id"), F.array_join(F.col("vector").cast("array<string>"), " ")).alias("value"))
+    lines.orderBy("id").select("value").write.text(path)
+    words = source.read_text(spark, path)
+    return neighbour_report(EXAMPLE.join(words.select("id", "vector"), DIM), words)

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.store import hold
+
 
 def as_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """Columns id and vector; takes arrays of any numbers and dense or sparse ml and mllib vectors.
@@ -41,21 +43,18 @@ def check(df: DataFrame, features: int | None = None) -> DataFrame:
     return df
 
 
-def numbered(df: DataFrame, order: str, parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:
     """Adds `id`: 0, 1, 2 ... in the order of a column that no two rows share.
 
-    Rows are numbered within ranges between the column's quantiles, and each range starts where the ones
-    before it end; the table of ranges has `parts` rows at most.
+    Rows are dealt out by ranges of the column, `parts` or as many as the session has shuffle partitions, and sorted there; each range starts where the
+    ones before it end. The ranges are held, since their sizes are counted first; the table of sizes has a row per range.
     """
-    cuts = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000).alias("q")).first().q or []
-    where = F.lit(0)
-    for q in sorted(set(cuts)):
-        where = where + (F.col(order) > F.lit(q)).cast("int")
-    rows = df.withColumn("__part", where)
+    in_range = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranges = df.repartitionByRange(order) if parts is None else df.repartitionByRange(parts, order)
+    rows = hold(ranges.sortWithinPartitions(order).withColumns({"__part": F.spark_partition_id(), "__n": in_range}))
     starts = rows.groupBy("__part").count().select(
         "__part", F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    n = F.row_number().over(W.partitionBy("__part").orderBy(order))
-    return rows.withColumn("__n", n).join(F.broadcast(starts), "__part").withColumn("id", (F.col("__start") + F.col("__n") - 1).cast("long")).drop("__part", "__start", "__n")
+    return rows.join(F.broadcast(starts), "__part").withColumn("id", (F.col("__start") + F.col("__n")).cast("long")).drop("__part", "__start", "__n")
 
 
 def _fields(column: str) -> list:
@@ -69,9 +68,9 @@ def parse_text(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """(id, word, vector) of a text file, ids from 0 in the file's order."""
-    lines = spark.read.text(path).withColumn("__at", F.monotonically_increasing_id())
-    return numbered(parse_text(lines), "__at").select("id", "word", "vector")
+    """(id, word, vector) of text files, ids from 0 in the order of the files' names and of their lines."""
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    return numbered(parse_text(spark.read.text(path).select("value", at.alias("__at"))), "__at").select("id", "word", "vector")
 
 
 def from_indexed_row_matrix(spark: SparkSession, matrix) -> DataFrame:

@@ -26,7 +26,7 @@ def words(*xs):
 def test_cosine(spark):
     got = one(spark, right=V.cosine(vec(1, 0), vec(0, 1)), against=V.cosine(vec(1, 0), vec(-1, 0)), same=V.cosine(vec(1, 0), vec(1, 0)),
               zero=V.cosine(vec(0, 0), vec(1, 0)), tiny=V.cosine(vec(1e-200, 0), vec(1e-200, 0)), other=V.cosine(vec(1, 0), vec(1)))
-    assert (got.right, got.against, got.same, got.zero, got.other) == (0.0, -1.0, 1.0, 0.0, None)
+    assert (got.right, got.against, got.same, got.zero, got.other, got.tiny) == (0.0, -1.0, 1.0, 0.0, None, 1.0)
     a, b, c = vec(1, 2, 3), vec(1, 2, 4), vec(7, 7, 9)
     got = one(spark, ab=V.cosine(a, b), ac=V.cosine(a, c), bc=V.cosine(b, c))
     assert got.ab >= got.ac >= got.bc
@@ -37,8 +37,8 @@ def test_tiles_equal_scalars(rows):
     x = np.array(rows)
     for k, a in enumerate(x):
         for j, b in enumerate(x):
-            na, nb = math.sqrt(a @ a), math.sqrt(b @ b)
-            want = 0.0 if na == 0 or nb == 0 else a @ b / na / nb
+            na, nb = math.hypot(*a), math.hypot(*b)  # squares of tiny numbers are no doubles
+            want = 0.0 if na == 0 or nb == 0 else (a / na) @ (b / nb)
             assert V.COSINE.tile(x, x)[k, j] == pytest.approx(want, abs=1e-9)
             assert V.NEGATIVE_DISTANCE.tile(x, x)[k, j] == pytest.approx(-math.dist(a, b), abs=1e-6)
 
@@ -89,3 +89,16 @@ def test_hamming_stands_for_cosine():
         for b in range(3):
             cos = x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b])
             assert math.cos(math.pi * (s[a] != s[b]).mean()) == pytest.approx(cos, abs=0.1)
+
+
+def test_tiny_and_huge_vectors(spark):
+    got = one(spark, tiny=V.l2_norm(vec(3e-200, 4e-200)), huge=V.l2_norm(vec(3e200, 4e200)), zero=V.l2_norm(vec(0, 0)), both=V.cosine(vec(1e-200, 1e-200), vec(1e200, 0)))
+    assert math.isclose(got.tiny, 5e-200) and math.isclose(got.huge, 5e200) and got.zero == 0.0 and math.isclose(got.both, math.sqrt(0.5))
+    s = V.COSINE.tile(np.array([[1e-200, 1e-200], [0.0, 0.0]]), np.array([[1e200, 0.0]]))
+    assert math.isclose(s[0, 0], math.sqrt(0.5)) and s[1, 0] == 0.0
+
+
+def test_near_equal_vectors_keep_their_distance():
+    a = np.array([[1e6, 1.0, 2.0]])
+    b = a + np.array([[1e-4, 0.0, 0.0]])
+    assert math.isclose(V.NEGATIVE_DISTANCE.tile(a, b)[0, 0], -float(abs(b - a)[0, 0]), rel_tol=1e-9) and V.NEGATIVE_DISTANCE.tile(a, a)[0, 0] == 0.0

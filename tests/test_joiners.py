@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions import vectors as V
-from kindred.operators import buckets, tiles, topk, windows
+from kindred.operators import buckets, store, tiles, topk, windows
+from kindred.operators import joiners as J
 from kindred.operators.joiners import BlockedLsh, BucketLsh, ExactQueryJoin, ExactSelfJoin, HammingJoin
 from kindred.operators.signatures import keyed_rounds
 
@@ -166,3 +167,78 @@ def test_distinct_and_top(spark):
     assert pairs(topk.distinct_pairs(df)) == {(1, 2): 3.5, (1, 3): 3.4, (1, 4): 3.4, (2, 1): 0.0}
     assert pairs(topk.distinct_top_k(df, 2)) == {(1, 2): 3.5, (1, 3): 3.4, (2, 1): 0.0}
     assert "WindowGroupLimit" in topk.top_k(df, 2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grid_gives_what_broadcasting_gives(spark, monkeypatch):
+    """Tiles too large to broadcast go to the cells of a grid, with the same pairs, each once."""
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rng.standard_normal((300, 8)))], "id long, vector array<double>").repartition(5)
+    joins = [lambda: J.ExactSelfJoin(0.3).join(v), lambda: J.ExactQueryJoin(0.4).join(v, v), lambda: J.HammingJoin(0.1, 100, 3).join(v, v),
+             lambda: J.HammingJoin(0.1, 100, 3, broadcast="query", limit_per="catalog").join(v, v)]
+    want = [sorted((r.i, r.j, round(r.value, 9)) for r in f().collect()) for f in joins]
+    monkeypatch.setattr(tiles, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(tiles, "CELL", 2)
+    real = tiles._gathered
+    monkeypatch.setattr(tiles, "_gathered", lambda df, size, encode: real(df, 20, encode))
+    assert [sorted((r.i, r.j, round(r.value, 9)) for r in f().collect()) for f in joins] == want
+    assert all(want) and all("CartesianProduct" not in f()._jdf.queryExecution().toString() for f in joins)
+
+
+def test_samples_are_the_same_when_drawn_again(spark):
+    v = spark.range(20_000).selectExpr("id", "array(1d, 0d) AS vector")
+    one, two = (sorted(r.id for r in J.sampled(df, 0.3, 5).collect()) for df in (v, v.repartition(7)))
+    assert one == two and abs(len(one) / 20_000 - 0.3) < 0.02
+    assert J.sampled(v, 0.3, 6).count() != 0 and sorted(r.id for r in J.sampled(v, 0.3, 6).collect()) != one
+
+
+def test_symmetric_sample_keeps_pairs_of_larger_ids(spark):
+    v = spark.createDataFrame([(k, [1.0, k / 50]) for k in range(40)], "id long, vector array<double>")
+    chosen = {r.id for r in J.sampled(v, 0.3, 1).collect()}
+    got = {(r.i, r.j) for r in J.ExactSelfJoin(-1, fraction=0.3, seed=1, symmetric=True).join(v).collect()}
+    assert got == {(i, j) for i in range(40) for j in range(40) if i != j and (i in chosen or j in chosen)}
+
+
+def test_validation(spark):
+    wide = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, vector array<double>")
+    again = spark.createDataFrame([(1, [1.0]), (1, [2.0])], "id long, vector array<double>")
+    for v in (wide, again):
+        with pytest.raises(ValueError):
+            J.ExactSelfJoin(0.0, validate=True).join(v)
+        with pytest.raises(ValueError):
+            J.BlockedLsh(0.0, 4, 10, 1, validate=True).join(v)
+
+
+def test_held_tables_are_released(spark):
+    v = spark.createDataFrame([(k, [1.0, k / 50]) for k in range(40)], "id long, vector array<double>")
+    store.release(spark)
+    with store.scope(spark, "a join"):
+        found = J.BucketLsh(0.0, 2, 100, 5, 2, salt_percentile=0.5).join(v, v)
+        assert found.count() and store._held
+    assert not store._held and found.count()
+
+
+def test_recall_of_the_approximate_joins(spark):
+    """Against the exact join, on vectors in clusters."""
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((60, 32))
+    rows = [(k, (centres[k % 60] + 0.35 * rng.standard_normal(32)).tolist()) for k in range(600)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>").repartition(4)
+    exact = {(r.i, r.j) for r in J.ExactSelfJoin(0.8).join(v).collect()}
+    blocked = {(r.i, r.j) for r in J.BlockedLsh(0.8, 32, 100, 10).join(v).collect()}
+    both = {(r.i, r.j) for r in J.ExactQueryJoin(0.8).join(v, v).collect()}
+    bucket = {(r.i, r.j) for r in J.BucketLsh(0.8, 8, 1000, 1000, 16).join(v, v).collect()}
+    assert blocked <= exact and len(blocked) >= 0.9 * len(exact), len(blocked) / len(exact)
+    assert bucket <= both and len(bucket) >= 0.9 * len(both), len(bucket) / len(both)
+
+
+def test_blocks_over_mostly_empty_partitions(spark):
+    v = spark.createDataFrame([(k, [1.0, 0.0]) for k in (3, 4, 1, 2, 5)], "id long, vector array<double>").repartition(50)
+    got = J.BlockedLsh(0.99, 2, 10, 1).join(v)
+    assert sorted((r.i, r.j) for r in got.collect()) == [(i, j) for i in range(1, 6) for j in range(i + 1, 6)]
+
+
+def test_block_pairs_at_a_minimum_of_one(spark):
+    """Rows 3, 4 and 1 are (0, 1), row 2 is (1, 0); the minimum is exactly 1."""
+    v = spark.createDataFrame([(3, [0.0, 1.0]), (4, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "id long, vector array<double>")
+    got = sorted((r.i, r.j, r.value) for r in J.BlockedLsh(1.0, 2, 10, 1).join(v).collect())
+    assert got == [(1, 3, 1.0), (1, 4, 1.0), (3, 4, 1.0)]

@@ -48,3 +48,10 @@ def test_check(spark):
         with pytest.raises(ValueError):
             source.check(bad)
     assert source.width(df) == 1 and source.check(df.where("id = 1"), 1).count() == 1
+
+
+def test_files_in_the_order_of_their_names(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\n".join(f"a{k} {k} 1" for k in range(5)) + "\n\n")
+    (tmp_path / "b.txt").write_text("\n".join(f"b{k}  {k} 2" for k in range(5000)) + "\n")
+    got = [(r.id, r.word, r.vector) for r in source.read_text(spark, str(tmp_path)).orderBy("id").collect()]
+    assert got == [(k, f"a{k}", [float(k), 1.0]) for k in range(5)] + [(5 + k, f"b{k}", [float(k), 2.0]) for k in range(5000)]
