@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb, erf, sqrt
+from dataclasses import dataclass
+from math import ceil, comb, erf, exp, lgamma, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected, cut, keep
+from .words import STEPS, mixed
 
 PROJECTIONS, SEED = 16, 7
+#: Cells are so many mean differences wide, of a pair right at the bound. A vector's window holds about TARGET others by chance.
+CELL, TARGET = 8, 2
+#: Collisions that a pair needs in the cells' windows.
+NEEDED = 2
+#: Vectors with more than HOT in a part of a window are compared block by block instead of pair by pair.
+HOT = 64
 #: Vectors in a block at most, and pairs of blocks in a task.
 BLOCK, TASK_PAIRS = 1024, 16
 #: Half a window's width, in standard deviations of a projected difference right at the bound.
 WIDTH = 2.5
+#: Tables of up to so many rows of a few numbers are broadcast; larger ones are joined by a shuffle.
+MOST_BROADCAST = 100_000
 #: The share of pairs right at the bound that may stay below the count.
 MISSED = 1e-7
 
@@ -45,6 +55,98 @@ def calibrated(dim: int, cosine: float) -> tuple[float, int]:
     return WIDTH * d / sqrt(dim), count
 
 
+@dataclass(frozen=True)
+class Lines:
+    """Sorted lines of one dimension: `axes` projections deal a table's vectors to cells, one more sorts each cell.
+
+    A random direction's difference of a pair at the bound is d * |u| with the mean `step`; cells are CELL times as wide and lie at
+    random, so the pair shares one with a chance of 1 - 1 / CELL at least, on every axis. The window around a query holds it with the
+    chance `seen`. `axes` grows with the logarithm of the vectors compared, so that a window holds about TARGET of them by chance, and
+    the number of tables is the least with which all but MISSED of the pairs at the bound collide NEEDED times. Nearer pairs collide more often.
+    """
+
+    dim: int
+    axes: int
+    tables: int
+    half: float
+    width: float
+
+    @staticmethod
+    def calibrated(dim: int, cosine: float, n: int) -> Lines:
+        d = sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
+        step = d * exp(lgamma(dim / 2) - lgamma((dim + 1) / 2)) / sqrt(pi)
+        half, seen = (d, 1.0) if dim < 32 else (WIDTH * d / sqrt(dim), erf(WIDTH / sqrt(2)))
+        width, spread = CELL * step, 1 / sqrt(dim)
+        # Two random vectors differ by about sqrt(2) * spread, so share a cell or a window with about these chances.
+        chance = lambda w: min(1.0, w / (sqrt(2) * spread * sqrt(2 * pi)))
+        by_chance = max(1.0, n * min(1.0, 2 * chance(half)) / TARGET)
+        axes = 1 if chance(width) >= 0.9 else max(1, ceil(log(by_chance) / -log(chance(width))))
+        hit, tables = (1 - 1 / CELL) ** axes * seen, NEEDED
+        while sum(comb(tables, c) * hit**c * (1 - hit) ** (tables - c) for c in range(NEEDED)) > MISSED:
+            tables += 1
+        return Lines(dim, axes, tables, half, width)
+
+    def drawn(self) -> tuple[np.ndarray, np.ndarray]:
+        """Directions, as columns, and the cells' offsets."""
+        rng = np.random.default_rng([SEED, 2, self.dim, self.axes])
+        r = rng.standard_normal((self.dim, self.tables * (self.axes + 1)))
+        return r / np.sqrt((r * r).sum(0)), rng.random((self.tables, self.axes))
+
+    def placed(self, x: np.ndarray, drawn: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of unit vectors: each table's cell, and the place on its line, in half windows."""
+        r, offsets = drawn
+        at = (x @ r).reshape(len(x), self.tables, self.axes + 1)
+        cells = np.floor(at[:, :, 1:] / self.width + offsets).astype(np.int64).view(np.uint64)
+        key = np.arange(self.tables, dtype=np.uint64)[None, :] * STEPS[63] + np.full(1, self.dim, np.uint64) * STEPS[62]
+        for k in range(self.axes):
+            key = mixed(key + cells[:, :, k] * STEPS[k % 60])
+        return key, at[:, :, 0] / self.half
+
+
+LINES = "v long, hot boolean, first boolean, key long, x double"
+
+
+def _lines(lines: dict[int, Lines], kind: np.dtype):
+    """A row per vector and table: its cell, of its label and dimension, and its place on the cell's line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = {dim: of.drawn() for dim, of in lines.items()}
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                mine = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                of = lines[int(dim)]
+                for i in range(0, mine.num_rows, 512):
+                    some = mine.slice(i, 512)
+                    x = unit(np.frombuffer(b"".join(some.column("vec").to_pylist()), kind).reshape(some.num_rows, dim))
+                    key, at = of.placed(x, drawn[int(dim)])
+                    key = mixed(key + some.column("label").to_numpy().view(np.uint64)[:, None] * STEPS[61])
+                    each = lambda c: np.repeat(c, of.tables)  # noqa: B023, E731
+                    first = np.tile(np.arange(of.tables) == 0, some.num_rows)
+                    cols = [each(some.column("v").to_numpy()), each(some.column("hot").to_numpy(zero_copy_only=False)), first, key.ravel().view(np.int64), at.ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[c.split()[0] for c in LINES.split(", ")])
+
+    return run
+
+
+def _verified(cosine: float, kind: np.dtype):
+    """Candidate pairs that are links: for each of both its partner's copies, and the smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                mine = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                a, b = (unit(np.frombuffer(b"".join(mine.column(c).to_pylist()), kind).reshape(mine.num_rows, dim)) for c in ("vec_a", "vec_b"))
+                near = np.einsum("ij,ij->i", a, b) >= cosine
+                va, vb, ca, cb = (mine.column(c).to_numpy()[near] for c in ("a", "b", "copies_a", "copies_b"))
+                low = np.minimum(va, vb)
+                cols = [np.concatenate(c) for c in ((va, vb), (cb, ca), (low, low))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["v", "n", "root"])
+
+    return run
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -77,6 +179,14 @@ def _prepared(kind: np.dtype):
 
 
 BLOCKS = "label long, dim int, block long, lo double, hi double, vs binary, copies binary, vecs binary"
+MEMBERS = "block long, v long"
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, vs in zip(*batch.columns, strict=True):
+            v = np.frombuffer(vs.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), block.as_py())), pa.array(v)], names=["block", "v"])
 
 
 def _block(number: int, rows: list[tuple]) -> pa.RecordBatch:
@@ -172,23 +282,47 @@ def _linked(cosine: float, kind: np.dtype):
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def _dense(hot: DataFrame, placed, cosine: float, kind: np.dtype, block: int) -> DataFrame:
+    """Links among hot vectors, by pairs of blocks that share a window: v, n, root."""
+    on = cut(placed(hot).select("v", "first", "key", "part", "x"))
+    firsts = on.where("first").select("v", F.col("key").alias("line"), F.col("x").alias("place"))
+    keys = ["label", "dim", "line", "place", "v"]
+    order = hot.join(firsts, "v").select("label", "dim", "line", "place", "at", "v", "copies", "vec")
+    cols = ["label", "dim", "at", "v", "copies", "vec"]
+    blocks = cut(order.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*cols).mapInArrow(_blocks(block), BLOCKS))
+    of = blocks.select("block", "vs").mapInArrow(_members, MEMBERS)
+    held = cut(on.select("v", "key", "part").join(of, "v").select("key", "part", "block").distinct())
+    near = held.select("key", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("block").alias("one"))
+    pairs = near.join(held, ["key", "part"]).select(F.least("one", "block").alias("a"), F.greatest("one", "block").alias("b")).distinct()
+    dims = blocks.select(F.col("block").alias("a"), "label", "dim").join(blocks.select(F.col("block").alias("b"), F.col("label").alias("l"), F.col("dim").alias("d")).join(pairs, "b"), "a")
+    pairs = cut(dims.where("label = l AND dim = d").select("a", "b", "dim"))
+    side = lambda x: blocks.select(F.col("block").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("vs", "copies", "vecs")))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "dim", "vs_a", "vs_b", "copies_a", "copies_b", "vecs_a", "vecs_b")
+    return met.repartition(max(1, ceil(pairs.count() / TASK_PAIRS))).mapInArrow(_linked(cosine, kind), "v long, n long, root long")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98,
                     block: int = BLOCK) -> DataFrame:
     """A row per vector: vec_id, n_links, component_id and kept.
 
     1. Equal vectors of a label are a class, represented by the smallest id; only classes go on, with their
        number of rows.
-    2. The classes of a label are sorted along the first of some random orthonormal projections and cut into
-       blocks. Two blocks meet if their ranges come within the bound's distance: on any direction, linked
-       vectors are no farther apart. A block is a row of bounded size, so a hot label is many tasks.
-    3. For each pair of blocks, every projection of the one block is sorted, and the windows centred at the
-       other's vectors count the collisions of each pair. Pairs that reach the calibrated count are verified
-       by cosine in double precision. Of the links only each vector's number, and its least peer in the two
+    2. Each class is a row on many lines (see Lines): sorted one-dimensional projections, within cells that a few more projections
+       make. Windows are equi-joins: on each line of parts two half windows long, a query's window lies in two at most. What lies in it
+       collides, and collisions are counted by pair. Pairs that reach the calibrated count are verified by cosine in double precision.
+    3. Where a part of a line is crowded, by a group of near copies, the vectors around it are hot, and pairs of hot ones are not listed: hot vectors are sorted by
+       a line and cut into blocks of bounded size, and blocks that share a window on any line are compared as a whole, by the
+       collisions of 16 projections (see collisions), and verified. Of these links only each vector's number, and its least peer in the two
        blocks, leave the task: a group of g near copies gives g rows a pair of blocks, not g * g.
     4. Numbers are added up, and the peers' components found.
 
-    The work is the square of a label's classes over the pruning of step 2: windows on a line keep a fixed share of
-    a label's pairs, whatever its size.
+    Every pair is met in one of the two ways: in the first if one of it is not hot. The work for a vector grows with the number of its near
+    copies, and with the logarithm of the label's size in tables; what is shuffled are ids and places, and vectors once per candidate pair or block pair.
 
     Ids are integers, unique over different vectors. Null labels, null ids, and vectors that are null, empty, zero or hold
     a null, NaN or infinity link with nothing. Vectors of different dimensions do not link. Repeated rows are
@@ -201,16 +335,27 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     classes = cut(rows.where("links").groupBy("label", "dim", "digest")
                   .agg(F.min(F.struct("vec_id", "at", "vec")).alias("m"), F.count("*").alias("copies"))
                   .select("label", "dim", "digest", F.col("m.at").alias("at"), F.col("m.vec_id").alias("v"), "copies", F.col("m.vec").alias("vec")))
-    keys = ["label", "dim", "at", "v"]
-    blocks = cut(classes.drop("digest").repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_blocks(block), BLOCKS))
-    span = sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
-    edge = blocks.select("label", "dim", "block", "lo", "hi")
-    a, b = edge.alias("a"), edge.alias("b")
-    pairs = a.join(b, F.expr(f"a.label = b.label AND a.dim = b.dim AND a.block <= b.block AND b.lo - a.hi <= {span} AND a.lo - b.hi <= {span}"))
-    pairs = cut(pairs.select(F.col("a.block").alias("a"), F.col("b.block").alias("b"), F.col("a.dim").alias("dim")))
-    side = lambda x: blocks.select(F.col("block").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("vs", "copies", "vecs")))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "dim", "vs_a", "vs_b", "copies_a", "copies_b", "vecs_a", "vecs_b")
-    found = cut(met.repartition(max(1, ceil(pairs.count() / TASK_PAIRS))).mapInArrow(_linked(cosine, kind), "v long, n long, root long"))
+    most = classes.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("n")).collect()
+    lines = {r.dim: Lines.calibrated(r.dim, cosine, r.n) for r in most}
+    part = F.floor(F.col("x") / 2)
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.select("v", "label", "dim", "vec", "hot").mapInArrow(_lines(lines, kind), LINES).withColumn("part", part)
+
+    crowded = cut(placed(classes.withColumn("hot", F.lit(False))).groupBy("key", "part").count().where(F.col("count") > HOT).select("key", "part"))
+    around = _small(crowded.select("key", F.explode(F.array(*(F.col("part") + k for k in (-1, 0, 1)))).alias("part")).distinct())
+    hot = _small(placed(classes.withColumn("hot", F.lit(False))).join(around, ["key", "part"], "left_semi").select("v").distinct())
+    told = cut(classes.join(hot.withColumn("hot", F.lit(True)), "v", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
+    # One by one: those that are not hot, with all.
+    sides = F.explode(F.array_distinct(F.array(F.floor((F.col("x") - 1) / 2), F.floor((F.col("x") + 1) / 2))))
+    asks = placed(told.where("NOT hot")).select("key", sides.alias("part"), F.col("x").alias("xa"), F.col("v").alias("a"))
+    answers = placed(told).join(_small(crowded), ["key", "part"], "left_anti").select("key", "part", "x", F.col("v").alias("b"), "hot")
+    met = asks.join(answers, ["key", "part"]).where((F.abs(F.col("x") - F.col("xa")) <= 1) & F.when(F.col("hot"), F.lit(True)).otherwise(F.col("a") < F.col("b")))
+    pairs = met.groupBy("a", "b").count().where(F.col("count") >= NEEDED).select("a", "b")
+    one = lambda x: told.select(F.col("v").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("label", "dim", "vec", "copies")))
+    pairs = pairs.join(one("a"), "a").join(one("b"), "b").where("label_a = label_b AND dim_a = dim_b")
+    sparse = pairs.select("a", "b", F.col("dim_a").alias("dim"), "vec_a", "vec_b", "copies_a", "copies_b").mapInArrow(_verified(cosine, kind), "v long, n long, root long")
+    found = cut(sparse.unionByName(_dense(told.where("hot"), placed, cosine, kind, block)))
     n = found.groupBy("v").agg(F.sum("n").alias("n"))
     roots = connected(found, "v", "root").select(F.col("node").alias("v"), "root")
     of = classes.select("label", "dim", "digest", "v", "copies").join(n, "v", "left").join(roots, "v", "left").select(

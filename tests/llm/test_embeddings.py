@@ -44,8 +44,9 @@ def made(dim, seed=0):
     return rows + [(None, 1, rows[0][2]), (9999, None, rows[0][2]), (9998, None, rows[0][2]), (5, rows[5][1], rows[5][2]), rows[5]]
 
 
-@pytest.mark.parametrize(("dim", "block"), [(64, 1024), (64, 16), (3, 50), (8, 1024)])
-def test_equals_all_pairs(spark, dim, block):
+@pytest.mark.parametrize(("dim", "block", "hot"), [(64, 1024, 64), (64, 16, 8), (3, 50, 20), (8, 1024, 1), (64, 100, 10_000)])
+def test_equals_all_pairs(spark, monkeypatch, dim, block, hot):
+    monkeypatch.setattr(embeddings, "HOT", hot)
     rows = made(dim, seed=dim)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, label int, embedding array<float>, n int, digest string")
     got = embeddings.near_duplicates(df.repartition(3), block=block).collect()
@@ -70,3 +71,24 @@ def test_calibration_finds_pairs_at_the_bound():
     hits = (np.abs((a - b) @ embeddings.directions(64)) <= half).sum(1)
     far = embeddings.collisions(a[:500] @ embeddings.directions(64), b[500:1000] @ embeddings.directions(64), half)
     assert (hits >= need).all() and (far >= need).mean() < 0.01
+
+
+@pytest.mark.parametrize(("dim", "n"), [(64, 1000), (64, 100_000), (16, 3000), (2, 500), (384, 10**7)])
+def test_lines_find_pairs_at_the_bound(dim, n):
+    """Recall right at cosine 0.98, and few pairs by chance."""
+    rng = np.random.default_rng(dim)
+    a = embeddings.unit(rng.standard_normal((4000, dim)))
+    step = rng.standard_normal((4000, dim))
+    step = embeddings.unit(step - (step * a).sum(1, keepdims=True) * a)
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * step
+    of = embeddings.Lines.calibrated(dim, 0.98, n)
+    (ka, xa), (kb, xb) = (of.placed(x, of.drawn()) for x in (a, b))
+    assert (((ka == kb) & (np.abs(xa - xb) <= 1)).sum(1) >= embeddings.NEEDED).all()
+    far = ((ka[:2000] == kb[2000:]) & (np.abs(xa[:2000] - xb[2000:]) <= 1)).sum() / 2000 / of.tables
+    assert dim < 32 or far * n <= 20 * embeddings.TARGET
+
+
+def test_work_is_flat_at_fixed_density():
+    """Rows on lines for a vector, a thousand times as many vectors: tables grow as a small power of the number."""
+    tables = [embeddings.Lines.calibrated(64, 0.98, n).tables for n in (10**4, 10**7)]
+    assert tables[1] <= 4 * tables[0]
