@@ -169,10 +169,27 @@ PARSED = (
 )
 
 
+def gunzip(data: bytes) -> bytes:
+    """All members of a gzip file, in time that grows with its length: after a member, no more than a piece is given back."""
+    out, at, rest = [], 0, memoryview(data)
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(data):
+                raise EOFError("the file ends within a member")
+            piece = rest[at : at + 2048]
+            out.append(member.decompress(piece))
+            at += len(piece)
+        at -= len(member.unused_data)
+        while at < len(data) and data[at] == 0:  # padding
+            at += 1
+    return b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[tuple]:
     """A file's records, found by their Content-Length: a payload may hold what looks like a record."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = gunzip(data)
     at = 0
     while at < len(data):
         if data.startswith(b"\r\n", at):
