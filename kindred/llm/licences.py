@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from dataclasses import dataclass
-from functools import cache, reduce
+from functools import cache
 from math import sqrt
-from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -171,15 +171,26 @@ FALSE = 20
 CONFIRMED = 0.6
 #: A whole paragraph of so many word pairs may also be part of a template, with that share of its own pairs.
 LEAST_OWN = 3
+# Words that tell nothing.
+LITTLE = "a an and as at be by for from in is it of on or that the this to with".split()
 #: Comment signs at the ends of a line.
 SIGNS = "^[\\x20\\t]*(?://+|/\\*+|\\*+/?|#+|--+|;+|%+|<!--)|(?:\\*+/|-->)[\\x20\\t\\r]*$"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once: a column that is used in several places, or in a lambda, would be computed in each."""
+    return F.transform(F.array(value), body)[0]
+
+
 def grams(text: Column) -> Column:
     """The distinct words and pairs of words of a text, lower-cased."""
     words = F.filter(F.transform(F.split(F.lower(text), "[^a-z0-9.\\-]+"), lambda w: F.regexp_replace(w, "^[.\\-]+|[.\\-]+$", "")), lambda w: w != "")
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(words, pairs))
+
+    def both(w: Column) -> Column:
+        rest = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.array_distinct(F.concat(w, F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda a, b: F.concat_ws(" ", a, b))))
+
+    return _let(words, both)
 
 
 def training(seed: int = SEED) -> list[tuple[str, str, bool]]:
@@ -289,14 +300,30 @@ def templates(spark: SparkSession) -> DataFrame:
     return rows.select("family", "template", F.when(F.size(all_of) == 1, all_of).otherwise(F.filter(all_of, lambda g: g.contains(" "))).alias("pairs"))
 
 
-def telling(pairs: list[str]) -> list[str]:
-    """Words of which a text holds at least one, if it holds CONFIRMED of these word pairs: the longest that suffice."""
-    left, out = list(pairs), []
-    for word in sorted({w for p in pairs for w in p.split()}, key=lambda w: (-len(w), w)):
-        if len(left) < CONFIRMED * len(pairs):
-            break
-        out.append(word)
-        left = [p for p in left if word not in p.split()]
+def _piece(word: str) -> str:
+    """The longest run of letters and digits, which a text that holds the word holds between others."""
+    return max(re.findall("[a-z0-9]+", word), key=lambda x: (x not in LITTLE, not x.isdigit(), len(x)))
+
+
+def telling(templates: list[list[str]]) -> list[list[str]]:
+    """For each template's word pairs, words of which a text holds at least one, if it holds CONFIRMED of the pairs.
+
+    Words with letters come first, of those the ones that serve another template, then the longest, so that few and rare ones have to be
+    looked for. Short templates choose first.
+    """
+    out: list[list[str]] = [[] for _ in templates]
+    chosen: set[str] = set()
+    for k in sorted(range(len(templates)), key=lambda k: len(templates[k])):
+        left = list(templates[k])
+        for word in sorted({w for p in left for w in p.split()}, key=lambda w: (len(_piece(w)) < 2 or _piece(w).isdigit() or w in LITTLE, w not in chosen, -len(w), w)):
+            if len(left) < CONFIRMED * len(templates[k]):
+                break
+            if rest := [p for p in left if word not in p.split()]:
+                if len(rest) == len(left):
+                    continue
+            out[k].append(word)
+            left = rest
+        chosen |= set(out[k])
     return out
 
 
@@ -337,11 +364,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: M
     """
     spark = df.sparkSession
     model = model or fit(spark)
-    known = [(r.family, r.pairs, telling(r.pairs)) for r in templates(spark).collect()]
-    words = sorted({w for *_, ws in known for w in ws})
-    words = [w for w in words if not any(v in w for v in words if v != w)]
-    # Within the lambda the lower-cased text is a value: as a column it would be made again for each word.
-    has = lambda c: F.exists(F.array(F.lower(c)), lambda x: reduce(or_, (F.contains(x, F.lit(w)) for w in words)))
+    listed = templates(spark).collect()
+    known = [(r.family, r.pairs, t) for r, t in zip(listed, telling([r.pairs for r in listed]), strict=True)]
+    pieces = sorted({_piece(w) for *_, ws in known for w in ws})
+    has = lambda c: F.arrays_overlap(F.split(F.lower(c), "[^a-z0-9]+"), F.array(*map(F.lit, pieces)))
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(has(F.col("text")))
     counts = F.transform(blocks(F.col("text")), lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit("\n"), F.lit(""))) + 1)
     found = F.filter(F.transform(blocks(F.col("text")), lambda x, i: F.struct(i.alias("k"), x.alias("block"))), lambda x: has(x["block"]))
@@ -353,18 +379,23 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: M
     said = (F.col("family") != UNKNOWN) & (F.col("probability") >= model.least)
     of = F.broadcast(spark.createDataFrame([(f, [(p, t) for g, p, t in known if g == f]) for f in TEMPLATES],
                                            "named string, templates array<struct<pairs:array<string>,telling:array<string>>>"))
-    own = scored.join(of, (F.col("family") == F.col("named")) & said, "left").withColumn("grams", F.when(F.col("named").isNotNull(), grams(F.col("line"))))
-    mine = own.withColumn("own", F.filter("grams", lambda g: g.contains(" ")))
+    own = scored.join(of, (F.col("family") == F.col("named")) & said, "left")
+
+    def shares(text: Column) -> Column:
+        def share(all_of: Column, own: Column, t: Column) -> Column:
+            held = F.size(F.array_intersect(all_of, t["pairs"]))
+            part = F.when(F.col("whole") & (F.size(own) >= LEAST_OWN) & F.arrays_overlap(all_of, t["telling"]), held / F.greatest(F.size(own), F.lit(1))).otherwise(0.0)
+            return F.struct(F.greatest(held / F.size(t["pairs"]), part).alias("share"), part.alias("part"), held.alias("held"))
 
-    def share(t: Column) -> Column:
-        held = F.size(F.array_intersect("grams", t["pairs"]))
-        part = F.when(F.col("whole") & (F.size("own") >= LEAST_OWN) & F.arrays_overlap("grams", t["telling"]), held / F.greatest(F.size("own"), F.lit(1))).otherwise(0.0)
-        return F.struct(F.greatest(held / F.size(t["pairs"]), part).alias("share"), part.alias("part"), held.alias("held"))
+        pairs = lambda g: F.filter(g, lambda x: x.contains(" "))
+        return _let(grams(text), lambda g: _let(pairs(g), lambda own: F.transform("templates", lambda t: share(g, own, t))))
 
-    best = mine.withColumn("shares", F.transform("templates", share)).withColumns(
+    # Exploded, so that the shares are values to what follows.
+    judged = own.select("*", F.explode_outer(F.when(F.col("named").isNotNull(), F.array(shares(F.col("line"))))).alias("shares"))
+    best = judged.withColumns(
         {"confirmed_share": F.array_max("shares")["share"], "tight": F.exists("shares", lambda x: x["part"] >= CONFIRMED),
          "held": F.array_max(F.transform("shares", lambda x: x["held"]))}).withColumn(
-        "notice", F.coalesce(F.col("confirmed_share") >= CONFIRMED, F.lit(False))).drop("named", "templates", "shares", "grams", "own")
+        "notice", F.coalesce(F.col("confirmed_share") >= CONFIRMED, F.lit(False))).drop("named", "templates", "shares")
     best = cut(best.withColumn("family", F.when(F.col("notice"), F.col("family")).otherwise(UNKNOWN)))
     key = ["doc", "k", "family"]
     cols = ["doc_id", "paragraph", "whole", "family", "probability", "confirmed_share", "line"]
