@@ -28,6 +28,35 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+ORACLES["op4_jump_shards"] = """
+WITH RECURSIVE bits(n, c, k) AS (
+  SELECT n, n, 0 FROM range(256) AS r(n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8
+), d AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, strlen(coalesce(text, '')) + 8 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+  FROM documents
+), s AS (
+  SELECT doc_id, key, size, xor(list_reduce(bytes, lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8), 4294967295), 4294967295) AS text_crc32
+  FROM d, crc
+), walk(key, i, next, shard, grown) AS (
+  SELECT DISTINCT key, 0, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM d
+  UNION ALL
+  SELECT key, i + 1, (next + 1) * 268435456 // (('0x' || substr(md5(key || ':' || i), 1, 7))::BIGINT + 1), CASE WHEN next < 24 THEN next ELSE shard END, next
+  FROM walk WHERE next <= 24
+), ends AS (
+  SELECT key, arg_max(shard, i)::INT AS shard, arg_max(grown, i)::INT AS grown_shard FROM walk GROUP BY key
+), p AS (
+  SELECT *, ('0x' || substr(md5(key || ':' || text_crc32 || ':' || size), 1, 2))::INT AS part FROM s JOIN ends USING (key)
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM p
+"""
+
+
 @query
 def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from .common import keep
 
-#: The shards' parts within which rows are numbered; the table of their sizes has shards * PARTS rows at most.
+#: The shards' parts within which rows are numbered, by two hexadecimal digits; the table of their sizes has shards * PARTS rows at most.
 PARTS = 256
 
 
@@ -47,7 +47,8 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
     """Each row's shard and its slot there: the id, size, text_crc32, law, shard, slot, grown_shard.
 
     Nulls: a null id is a key like any other (the empty one); a null text has size 8 and the checksum of no
-    bytes. Repeated rows and equal ids share a shard and get slots of their own. Other columns are not read.
+    bytes. Repeated rows and equal ids share a shard and get slots of their own. Ties: slots go by part, id, size and checksum; rows equal in
+    all of them are alike. A very long text is a size and a checksum here. Other columns are not read.
     An empty table gives no rows.
 
     Numbering: a shard holds a share of all rows, too many for one task's window at scale. So rows are
@@ -61,7 +62,7 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         jump(F.col(id_col), shards).alias("at"),
     ).select("doc_id", "size", "text_crc32", F.col("at.shard").alias("shard"), F.col("at.grown").alias("grown_shard"),
-             F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(PARTS)).cast("int").alias("part"))
+             F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32", "size")), 1, 2), 16, 10).cast("int").alias("part"))
     rows = keep(rows)  # some 40 bytes a row; the texts are read once
     before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = rows.groupBy("shard", "part").count().select(

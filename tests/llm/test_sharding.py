@@ -41,3 +41,12 @@ def test_empty_and_wrong(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
         sharding.jump(spark.range(1).id, 0)
+
+
+def test_very_long_texts_and_equal_rows(spark):
+    rows = [(1, "x" * 3_000_000)] * 2 + [(2, "é" * 100_000), (2, None)] + [(7, "same")] * 300
+    out = sharding.shard(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, part string"), shards=5).collect()
+    assert sorted(r["size"] for r in out) == sorted(len((t or "").encode()) + 8 for _, t in rows)
+    for k in range(5):
+        slots = sorted(r.slot for r in out if r.shard == k)
+        assert slots == list(range(len(slots)))
