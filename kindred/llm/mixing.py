@@ -81,7 +81,7 @@ class Mix:
     certain; what is left to its target, the quota in words, is sampled. Each document has an inclusion probability p of
     its own, by source and length: p rises as the length to the power `lean`, by powers of two, and the words expected are the
     quota; where p would exceed 1, the document is certain (see inclusion). lean = 0 gives all documents of a source one p.
-    A document's rank is its random odds over its inclusion odds, (u / (1 - u)) / (p / (1 - p)), u uniform and drawn from a hash of the
+    A document's rank is its random odds over its inclusion odds, (u / (1 - u)) / (p / (1 - p)), u uniform and drawn from the md5 of the
     seed, the id and the text. The lowest ranks are taken as long as they fit in the quota: the sample's size is fixed in
     words. Then one more document of those left may be taken, the one that brings the source nearest to its target; so at most
     one of a source's documents is not there by its rank.
@@ -143,8 +143,9 @@ class Mix:
 
     def _ranked(self, docs: DataFrame) -> DataFrame:
         id_col, text_col, _ = self.columns
-        key = F.xxhash64(F.lit(self.seed), F.col(id_col), F.col(text_col))
-        u = (F.shiftrightunsigned(F.xxhash64(F.lit(self.seed + 1), key), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+        told = F.concat(F.lit(f"{self.seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.concat(F.lit("t"), F.col(text_col).cast("string")), F.lit("-")))
+        digits = lambda lo, n: F.conv(F.substring(F.md5(told), lo, n), 16, 10).cast("long")
+        key, u = digits(1, 15), (digits(16, 13).cast("double") + 0.5) / F.lit(float(1 << 52))
         size = F.col("size")
         return docs.withColumns({"size": words(text_col), "key": key, "u": u}).withColumn("class", F.when(size > 0, F.length(F.bin(size)) - 1).otherwise(0))
 

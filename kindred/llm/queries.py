@@ -67,6 +67,64 @@ def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
 
+ORACLES["op9_pareto_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
+    md5('42:' || coalesce(doc_id::VARCHAR, '-') || ':' || coalesce('t' || text, '-')) AS h
+  FROM documents
+), r AS (
+  SELECT doc_id, source, size, CASE WHEN size > 0 THEN length(bin(size)) - 1 ELSE 0 END AS class,
+    ('0x' || substr(h, 1, 15))::BIGINT AS key, (('0x' || substr(h, 16, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM d
+), s AS (
+  SELECT *, 3 * size / weight AS full_at FROM (
+    SELECT source, size, number, [1.0::DOUBLE, 2.0, 3.0][number % 3 + 1] AS weight FROM (
+      SELECT source, sum(size)::DOUBLE AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM r GROUP BY source
+    )
+  )
+), levels AS (
+  SELECT *, (sum(size) OVER () - coalesce(sum(3 * size) OVER (ORDER BY full_at, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY full_at, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s
+), targets AS (
+  SELECT source, size, CASE WHEN full_at < share THEN 3 * size ELSE least(3 * size, share * weight) END AS target
+  FROM levels, (SELECT arg_min(level, {'f': full_at, 'n': number}) AS share FROM levels WHERE full_at >= level)
+), quotas AS (
+  SELECT source, size::BIGINT AS source_size, target, copies::BIGINT AS copies, greatest(round(target)::BIGINT - (copies * size)::BIGINT, 0) AS quota
+  FROM (SELECT *, floor(CASE WHEN size > 0 THEN target / size ELSE 0 END + 1e-9) AS copies FROM targets)
+), classes AS (
+  SELECT r.source, class, quota, sum(size)::DOUBLE AS words, pow(2::DOUBLE, 0.2::DOUBLE * class) AS g
+  FROM r JOIN quotas ON r.source IS NOT DISTINCT FROM quotas.source GROUP BY ALL
+), odds AS (
+  SELECT *, (quota - coalesce(sum(words) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / nullif(sum(g * words) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level FROM classes
+), p AS (
+  SELECT source, class, CASE WHEN quota <= 0 THEN 0 ELSE least(1, coalesce(arg_max(level, class) FILTER (level * g <= 1) OVER (PARTITION BY source), 1) * g) END AS p FROM odds
+), ranked AS (
+  SELECT r.*, q.source_size, q.target, q.copies, q.quota, u * (1 - p) / (u * (1 - p) + p * (1 - u)) AS t
+  FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source AND r.class = p.class JOIN quotas q ON r.source IS NOT DISTINCT FROM q.source
+), upto AS (
+  SELECT *, sum(n * size) OVER (PARTITION BY source ORDER BY t, key, size) AS upto
+  FROM (SELECT source, t, key, size, quota, count(*) AS n FROM ranked WHERE quota > 0 AND size > 0 GROUP BY ALL)
+), ends AS (
+  SELECT source, e.t AS end_t, e.key AS end_key, e.n AS n, least(e.n, e.lft // e.size) AS part, e.lft - least(e.n, e.lft // e.size) * e.size AS gap
+  FROM (SELECT source, min({'t': t, 'key': key, 'size': size, 'n': n, 'lft': (quota - (upto - n * size))::BIGINT}) AS e FROM upto WHERE upto >= quota GROUP BY source)
+), odd AS (
+  SELECT r.source, arg_min(r.key, {'off': abs(r.size - gap), 't': r.t, 'key': r.key}) AS odd_key
+  FROM ranked r JOIN ends ON r.source IS NOT DISTINCT FROM ends.source
+  WHERE r.quota > 0 AND r.size > 0 AND (r.t > end_t OR r.t = end_t AND (r.key > end_key OR r.key = end_key AND part < ends.n)) AND abs(r.size - gap) < gap
+  GROUP BY r.source
+), counted AS (
+  SELECT r.*, end_t, end_key, part, odd_key, row_number() OVER (PARTITION BY r.source, r.key ORDER BY r.t) AS nth
+  FROM ranked r LEFT JOIN ends ON r.source IS NOT DISTINCT FROM ends.source LEFT JOIN odd ON r.source IS NOT DISTINCT FROM odd.source
+)
+SELECT doc_id, size, source_size, target, size * (copies + CASE
+  WHEN quota > 0 AND (coalesce(key = end_key, false) OR coalesce(key = odd_key, false))
+    THEN (nth <= CASE WHEN key = end_key THEN part ELSE 0 END + CASE WHEN key = odd_key THEN 1 ELSE 0 END)::INT
+  ELSE coalesce(quota > 0 AND (t < end_t OR t = end_t AND key < end_key), false)::INT END)::BIGINT AS taken
+FROM counted
+"""
+
+
 @query
 def op3_segment_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
