@@ -59,7 +59,66 @@ FROM p
 
 @query
 def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    out = quality.judge(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("chars_distance", "words_distance")})
+
+
+def _lists_sql() -> str:
+    """Each list's words, and their capitalised forms, with the bin."""
+    rows = [f"('{lang}', '{form}', {k + 1})" for lang, ws in quality.LISTS.items() for k, w in enumerate(ws) for form in sorted({w, w.capitalize()})]
+    return "VALUES " + ", ".join(rows)
+
+
+#: The character classes of quality.CLASSES as patterns of characters, in their order.
+CLASSES_SQL = ["[a-z]", "[A-Z]", "[0-9]", "[\\x20\\x09\\x0B-\\x0D]", "\\n", r"[\x22\x27-\x29,\-.:;]", r"[#*$%&|<>=+@^~`/\\_{}\[\]!?]", "[\\x{C0}-\\x{FF}\\x{140}-\\x{17F}]",
+               "[\\x00-\\x08\\x0E-\\x1F\\x7F]|[\\x{80}-\\x{BF}]|[\\x{100}-\\x{13F}]|[\\x{180}-\\x{10FFFF}]"]
+ORACLES["op5_distribution_divergence"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ({", ".join(f"'{x}'" for x in quality.COMMON)}) THEN lang ELSE '{quality.REST}' END AS lang
+  FROM documents
+), w AS (
+  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d
+), spans AS (
+  SELECT k, i, array_to_string(w[i:i + 4], ' ') AS span FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM w)
+), inside AS (
+  SELECT k, count(DISTINCT i + j) AS n FROM (SELECT *, count(*) OVER (PARTITION BY k, span) AS found FROM spans) , range(0, 5) AS r(j) WHERE found > 1 GROUP BY k
+), lists(lang, form, bin) AS (
+  {_lists_sql()}
+), hits AS (
+  SELECT k, coalesce(bin, 0) AS bin, count(*) AS n FROM (SELECT k, lang, unnest(w) AS word FROM w) x
+  LEFT JOIN lists ON lists.lang = x.lang AND lists.form = regexp_replace(word, '[.,;:!?]$', '') GROUP BY ALL
+), base AS (
+  SELECT w.k, doc_id, lang, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(inside.n, 0) AS n_repeat_words,
+    [{", ".join(f"length(text) - length(regexp_replace(text, '{c}', '', 'g'))" for c in CLASSES_SQL)}] AS chars
+  FROM w LEFT JOIN inside USING (k)
+), b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base
+), sizes AS (
+  SELECT lang, max(bin) AS bins FROM lists GROUP BY lang
+), shares AS (
+  SELECT k, lang, n_words, base_failed, 'chars' AS kind, place, chars[place] / greatest(list_sum(chars), 1)::DOUBLE AS share FROM b, range(1, {len(quality.CLASSES) + 1}) AS r(place)
+  UNION ALL
+  SELECT b.k, b.lang, n_words, base_failed, 'words', place, coalesce(hits.n, 0) / greatest(n_words, 1)::DOUBLE
+  FROM b JOIN sizes USING (lang) JOIN range(0, {max(map(len, quality.LISTS.values())) + 1}) AS r(place) ON place <= bins LEFT JOIN hits ON hits.k = b.k AND hits.bin = place
+), refs AS (
+  SELECT lang, kind, place, avg(share) AS ref FROM shares WHERE NOT base_failed AND n_words >= {quality.MIN_WORDS_WORDS} GROUP BY ALL
+), terms AS (
+  SELECT k, kind, (CASE WHEN share > 0 THEN share * log2(share / ((share + ref) / 2)) ELSE 0 END + CASE WHEN ref > 0 THEN ref * log2(ref / ((share + ref) / 2)) ELSE 0 END) / 2 AS term
+  FROM shares JOIN refs USING (lang, kind, place)
+), apart AS (
+  SELECT k, sqrt(greatest(sum(term) FILTER (kind = 'chars'), 0)) AS chars, sqrt(greatest(sum(term) FILTER (kind = 'words'), 0)) AS words FROM terms GROUP BY k
+), j AS (
+  SELECT b.*, CASE WHEN n_words >= {quality.MIN_WORDS_CHARS} THEN apart.chars END AS chars_distance, CASE WHEN n_words >= {quality.MIN_WORDS_WORDS} THEN apart.words END AS words_distance
+  FROM b LEFT JOIN apart USING (k)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(chars_distance > {quality.MAX_CHARS[0]}::DOUBLE + {quality.MAX_CHARS[1]}::DOUBLE / sqrt(greatest(n_words, 1)), false)
+    AND NOT coalesce(words_distance > {quality.MAX_WORDS[0]}::DOUBLE + {quality.MAX_WORDS[1]}::DOUBLE / sqrt(greatest(n_words, 1)), false) AS kept,
+  round(chars_distance, 6) AS chars_distance, round(words_distance, 6) AS words_distance
+FROM j
+"""
 
 
 @query
