@@ -150,7 +150,8 @@ class NearDuplicates:
     So a group of g copies costs g pairs, not g * g, and no link between different components is lost.
     Documents: integer ids, unique over different texts (different texts of one id count as one document
     that has all their links). Nulls: a null text has no shingles; rows without any, and null ids, link with
-    nothing. Repeated rows are one class. Other columns are not read. An empty table gives no rows.
+    nothing. Repeated rows are one class. Ties: of equal values the smaller goes first in a list, of equal sets the smaller id
+    represents. A very long text is one row in memory, with its set of shingles. Other columns are not read. An empty table gives no rows.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85):
@@ -224,7 +225,7 @@ class NearDuplicates:
             entries = cut(entries.join(lists, "x").where((reach >= F.col("lo")) & (F.col("n") <= F.col("hi"))).select("x", "v", "n", "pos"))
         lists = cut(entries.groupBy("x").agg(
             F.count("*").alias("count"), F.min(F.struct((F.col("pos") / F.col("n")).alias("at"), "n", "pos", "v")).alias("c")).where("count > 1"))
-        short = entries.join(lists.where(f"count <= {SHORT}").select("x"), "x")
+        short = cut(entries.join(lists.where(f"count <= {SHORT}").select("x"), "x"))  # a join of its own, so that the long lists it drops can be split
         near = _pairs(short, self._reach())
         rest = cut(entries.join(lists.where(f"count > {SHORT}").select("x", "c"), "x"))
         star = rest.alias("a").where("v <> c.v").select(F.least("v", "c.v").alias("u"), F.greatest("v", "c.v").alias("v"))
