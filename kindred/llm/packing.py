@@ -20,7 +20,7 @@ WINDOW = 1024
 #: Every so many ids there is a seed: documents whose id it divides are the queries.
 EVERY = 50
 #: Documents per shard of the index, documents and seeds that are scored at once.
-SHARD, BLOCK, SEEDS = 1 << 15, 4096, 512
+SHARD, BLOCK, SEEDS = 1 << 14, 4096, 512
 #: The most frequent terms are scored by a matrix product, others by postings. Only speed hangs on it.
 DENSE = 1024
 #: Documents that a window looks ahead for one that fits whole.
