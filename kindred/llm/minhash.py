@@ -18,7 +18,7 @@ from .words import shingles
 K = 64
 #: A list of at most so many documents is gone through pair by pair; longer ones start from a centre.
 SHORT = 32
-#: The most frequent values are looked for first to be listed last. Others count as rare, whatever their number.
+#: About so many values, the most frequent, are looked for first to be listed last. Others count as rare, whatever their number.
 FREQUENT = 1 << 16
 #: The bitmap of values that several rows list: so many bits, 2 MB, made in parts of 4 KB.
 FILTER, PART = 1 << 24, 1 << 15
@@ -69,10 +69,21 @@ def _sets(width: int):
 
 
 def frequent(df: DataFrame, values: str, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most FREQUENT values that occur in `least` rows or more, sorted, and their counts. Only an order hangs on them."""
-    top = (df.select(F.explode(values).alias("x")).groupBy("x").count().where(F.col("count") >= least)
-           .orderBy(F.desc("count"), "x").limit(FREQUENT).collect())
-    top.sort(key=lambda r: r.x)
+    """Of the values that occur in `least` rows or more the most frequent ones, about FREQUENT, sorted, and their counts. Only an order hangs on them.
+
+    How many values have each count tells from which count on all are taken; of the next count a share is, by a hash. So tasks send the
+    driver what is taken only: a limit would get as many from each of them, which is too much where most documents have near copies.
+    Different counts are few: m of them take m * m / 2 entries of `values`.
+    """
+    often = cut(df.select(F.explode(values).alias("x")).groupBy("x").count().where(F.col("count") >= least))
+    taken, room = F.lit(True), FREQUENT
+    for r in sorted(often.groupBy("count").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["count"]):
+        if r.n > room:
+            share = F.pmod(F.xxhash64("x"), F.lit(r.n)) < room
+            taken = (F.col("count") > r["count"]) | ((F.col("count") == r["count"]) & share)
+            break
+        room -= r.n
+    top = sorted(often.where(taken).collect(), key=lambda r: r.x)
     return np.array([r.x for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
 
 

@@ -84,3 +84,24 @@ def test_long_lists_alone_find_all(spark, monkeypatch):
 
 def test_empty(spark):
     assert minhash.NearDuplicates(spark.createDataFrame([], "doc_id long, text string")).groups().count() == 0
+
+
+def test_frequent_driver(spark, monkeypatch):
+    """The driver gets what is taken, not as much from each task; of equally frequent values a share is taken."""
+    monkeypatch.setattr(minhash, "FREQUENT", 2000)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, live = {c: spark.conf.get(c) for c in conf}, spark.sparkContext._jsc.sc().conf()
+    limit = live.get("spark.driver.maxResultSize", "1g")
+    df = spark.range(0, 300_000, 1, 8).selectExpr("array(id % 100000, -1 - id % 500, 200000 + id) AS items")
+    try:
+        for c, x in conf.items():
+            spark.conf.set(c, x)
+        live.set("spark.driver.maxResultSize", "1m")
+        known, counts = minhash.frequent(df, "items", 2)
+    finally:
+        live.set("spark.driver.maxResultSize", limit)
+        for c, x in before.items():
+            spark.conf.set(c, x)
+    of = dict(zip(known.tolist(), counts.tolist(), strict=True))
+    assert list(of) == sorted(of) and {x: n for x, n in of.items() if x < 0} == {-1 - x: 600 for x in range(500)}
+    assert {n for x, n in of.items() if x >= 0} == {3} and max(of) < 100_000 and 1700 < len(of) < 2300
