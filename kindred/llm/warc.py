@@ -7,6 +7,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,11 @@ from .common import cut
 
 #: A record's block has this many bytes at most; what is longer goes on in continuation records.
 SEGMENT = 64 << 10
-#: So a file has FILE_RECORDS * SEGMENT bytes at most, unpacked, and fits a worker.
+#: So many records of that size a file, which fits a worker, unpacked.
 FILE_RECORDS = 1000
+#: Of smaller segments a file has more records, up to so many bytes, unpacked; HEAD is for a record's header.
+FILE_BYTES = 8 << 20
+HEAD = 512
 CHUNK = 4096
 #: Payloads from this size on are stored once.
 LEAST_SHARED = 100
@@ -106,9 +110,14 @@ def records(record_id: str, uri: str | None, payload: bytes, digest: str, refers
             yield _record([("WARC-Type", "continuation"), *ids, *own[1:], *where], part)
 
 
+def file_records(segment: int) -> int:
+    """Records a file: files of small segments would else be many and tiny, and each costs the writer processes of its own (README)."""
+    return max(FILE_RECORDS, FILE_BYTES // (segment + HEAD))
+
+
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
           date: str = "2024-01-01T00:00:00Z", segment: int = SEGMENT) -> None:
-    """Writes a record per row, as .warc.gz files of FILE_RECORDS records at most, each record a gzip member of its own.
+    """Writes a record per row, as .warc.gz files of file_records(segment) records at most, each record a gzip member of its own.
 
     Between the members stands an empty one, which readers of gzip skip: the text writer ends each row with something.
 
@@ -150,7 +159,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     # The text writer writes a row's bytes as they are, and then its line end.
     (rows.mapInArrow(packed, "record binary").select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", FILE_RECORDS).mode("error").text(path))
+     .write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", file_records(segment)).mode("error").text(path))
     _renamed(pages.sparkSession, path)
 
 
@@ -232,51 +241,52 @@ def assembled(records: Iterator[tuple], whole: bool) -> Iterator[tuple]:
             yield from ((*r, None) for r in segments)
 
 
-def _parsed(whole: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary(), pa.string()]
-        names = [x.split()[0] for x in PARSED.split(", ")]
-        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-        for batch in batches:
-            for path, data in zip(*batch.columns, strict=True):
-                rows = []
-                for row in assembled(parse(data.as_py()), whole):
-                    rows.append(row if row[-1] is None else (*row[:-1], f"{path.as_py()}: {row[-1]}"))
-                    if len(rows) == 200:
-                        yield made(rows)
-                        rows = []
-                if rows:
-                    yield made(rows)
+def _batches(rows: Iterator[tuple], schema: str, size: int) -> Iterator[pa.RecordBatch]:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    arrow = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    while some := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=list(names))
 
-    return run
+
+def _assembled(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple]:
+    for batch in batches:
+        for path, data in zip(*batch.columns, strict=True):
+            for row in assembled(parse(data.as_py()), whole):
+                yield row if row[-1] is None else (*row[:-1], f"{path.as_py()}: {row[-1]}")
 
 
 READ = "record_id string, type string, uri string, refers_to string, payload_digest string, stated_bytes long, payload binary, error string"
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of records whose segments are in order: the payload, checked, or what is wrong with it."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 100):
-            some = batch.slice(i, 100).to_pylist()
-            out = []
-            for r in some:
-                payload, stated, error = None, None, r["error"]
-                if error is None:
-                    try:
-                        payload, stated = payload_of(r["block"])
-                        if r["type"] == "revisit":
-                            payload = None
-                        elif stated not in (None, len(payload)):
-                            payload, error = None, "the payload's length is another"
-                        elif r["payload_digest"] not in (None, "sha256:" + hashlib.sha256(payload).hexdigest()):
-                            payload, error = None, "the payload's digest is another"
-                    except ValueError as e:
-                        payload, error = None, str(e)
-                out.append((r["record_id"], r["type"], r["uri"], r["refers_to"], r["payload_digest"], stated, payload, error))
-            kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string()]
-            names = [x.split()[0] for x in READ.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+def decoded(record_id, kind, uri, refers_to, payload_digest, block: bytes, error: str | None) -> tuple:
+    """Of a record whose segments are in order: the payload, checked, or what is wrong with it."""
+    payload, stated = None, None
+    if error is None:
+        try:
+            payload, stated = payload_of(block)
+            if kind == "revisit":
+                payload = None
+            elif stated not in (None, len(payload)):
+                payload, error = None, "the payload's length is another"
+            elif payload_digest not in (None, "sha256:" + hashlib.sha256(payload).hexdigest()):
+                payload, error = None, "the payload's digest is another"
+        except ValueError as e:
+            payload, error = None, str(e)
+    return record_id, kind, uri, refers_to, payload_digest, stated, payload, error
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files' whole records, decoded by the worker that parses them: with one of its own for it, executors hold twice the workers."""
+    return _batches((decoded(*r[:5], *r[8:]) for r in _assembled(batches, True)), READ, 100)
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The segments of records that are not whole in their file."""
+    return _batches(_assembled(batches, False), PARSED, 200)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _batches((decoded(*r.values()) for b in batches for i in range(0, b.num_rows, 100) for r in b.slice(i, 100).to_pylist()), READ, 100)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -295,9 +305,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.read.format("binaryFile").schema(schema).load(path).select("path", "content")
     head = ["record_id", "type", "uri", "refers_to", "payload_digest"]
-    whole = files.mapInArrow(_parsed(True), PARSED).select(*head, "block", "error")
     one = F.struct("segment", "total", "block", *(F.when(F.col("segment") == 1, F.col(c)).alias(c) for c in head[1:]))
-    parts = files.mapInArrow(_parsed(False), PARSED).groupBy(F.coalesce("origin", "record_id").alias("record_id")).agg(
+    parts = files.mapInArrow(_left, PARSED).groupBy(F.coalesce("origin", "record_id").alias("record_id")).agg(
         F.array_sort(F.collect_list(one)).alias("s"))
     total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
     numbers = F.transform("s", lambda x: x["segment"])
@@ -308,7 +317,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     joined = parts.select(
         "record_id", *(F.get("s", F.lit(0))[c].alias(c) for c in head[1:]),
         F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["block"])).alias("block"), wrong.alias("error"))
-    return whole.unionByName(joined).mapInArrow(_decoded, READ)
+    return files.mapInArrow(_whole, READ).unionByName(joined.mapInArrow(_joined, READ))
 
 
 def summary(archive: DataFrame) -> DataFrame:

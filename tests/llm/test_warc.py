@@ -123,3 +123,14 @@ def test_segments_in_other_files(spark, tmp_path):
         (tmp_path / f"{k}.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in parts[k::3]))
     got = {int(r.record_id.split(":")[2]): (r.payload.decode(), r.error) for r in warc.read(spark, str(tmp_path)).collect()}
     assert got == {k: (t, None) for k, t in texts.items()}
+
+
+def test_small_segments_share_files(spark, tmp_path):
+    """Files are no more than their bytes ask for: each starts processes on the executors that write it."""
+    pages = spark.range(20).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id AS string), 1000000) AS html").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"), segment=1024)
+    files = [warc.gunzip(f.read_bytes()) for f in (tmp_path / "w").glob("part*")]
+    assert len(files) < 9 and all(len(f) <= warc.FILE_BYTES for f in files)
+    assert sum(len(list(warc.parse(f))) for f in files) > 20 * warc.FILE_RECORDS
+    got = {r.page_id: (r.payload_bytes, r.error) for r in warc.summary(warc.read(spark, str(tmp_path / "w"))).collect()}
+    assert got == {k: (1000000 * len(str(k)), None) for k in range(20)}
