@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import keep
 
 #: A record's block has this many bytes at most; what is longer goes on in continuation records.
 SEGMENT = 64 << 10
@@ -136,11 +136,11 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
     ids = rows.select("pid", "id", "digest", (F.octet_length("payload") >= LEAST_SHARED).alias("shared")).groupBy("pid", "id", "digest", "shared").count()
-    ids = cut(ids)
+    ids = keep(ids)
     first = ids.where("shared").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     seen = ids.join(first, "digest", "left").withColumn("first", F.when(F.col("shared") & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")))
     # Rows that revisit or repeat another; of the others the payload need not be moved to know what they are.
-    odd = cut(seen.where("first IS NOT NULL OR count > 1").select("pid", "digest", "first", "count"))
+    odd = keep(seen.where("first IS NOT NULL OR count > 1").select("pid", "digest", "first", "count"))
     rows = rows.join(F.broadcast(odd) if odd.count() <= MOST_BROADCAST else odd, ["pid", "digest"], "left")
     cols = ["pid", "url", "payload", "digest", "first"]
     nth = F.row_number().over(W.partitionBy("pid", "digest").orderBy("url"))
@@ -160,6 +160,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     # The text writer writes a row's bytes as they are, and then its line end.
     (rows.mapInArrow(packed, "record binary").select(F.col("record").cast("string").alias("value"))
      .write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", file_records(segment)).mode("error").text(path))
+    odd.unpersist()
+    ids.unpersist()
     _renamed(pages.sparkSession, path)
 
 

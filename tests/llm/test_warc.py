@@ -2,6 +2,8 @@ import gzip
 import hashlib
 import random
 import zlib
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from hypothesis import given
@@ -134,3 +136,17 @@ def test_small_segments_share_files(spark, tmp_path):
     assert sum(len(list(warc.parse(f))) for f in files) > 20 * warc.FILE_RECORDS
     got = {r.page_id: (r.payload_bytes, r.error) for r in warc.summary(warc.read(spark, str(tmp_path / "w"))).collect()}
     assert got == {k: (1000000 * len(str(k)), None) for k in range(20)}
+
+
+def test_write_leaves_nothing_but_the_archive(spark, tmp_path):
+    """Tables in between are the executors' own until it is written: files of them would start as many processes as the archive's."""
+    from kindred.llm.common import shared_dir
+
+    shared_dir(spark)
+    shared = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    state = lambda: {str(p) for p in shared.rglob("*")} | set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    before = state()
+    warc.write(spark.createDataFrame([(k, "u", "x" * 300) for k in range(9)], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert shared.is_dir() and not state() - before
+    got = warc.summary(warc.read(spark, str(tmp_path / "w"))).select("record_type", "refers_to").collect()
+    assert sorted((r.record_type, r.refers_to) for r in got) == [("response", None), *[("revisit", 0)] * 8]
