@@ -1,0 +1,40 @@
+"""Queries against DuckDB on made vectors: near ties, copies, and what leaves a task."""
+
+import math
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+import __spark_entry__ as entry
+
+
+def made(folder, vectors):
+    flat = pa.array([x.tolist() for x in vectors], pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(vectors)), pa.int64()), "embedding": flat}), folder / "embeddings.parquet")
+    return str(folder)
+
+
+def rows(columns, data):
+    at = [columns.index(c) for c in sorted(columns)]
+    return sorted((tuple("nan" if isinstance(x := r[k], float) and math.isnan(x) else x for k in at) for r in data), key=repr)
+
+
+def equals_sql(spark, folder, name):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    df, want = entry.queries()[name](spark, folder), c.sql(entry.oracle_sql()[name])
+    got, want = rows(df.columns, df.collect()), rows(want.columns, want.fetchall())
+    assert want and got == want
+
+
+def test_report_orders_by_rounded_values(spark, tmp_path):
+    """Row 2 is nearer to row 0 than row 1 is, but not in six digits."""
+    v = np.zeros((3, 64))
+    v[:, 0] = 1.0
+    v[1, 1], v[2, 1] = 0.3000103, 0.30001
+    cos = 1 / np.linalg.norm(v, axis=1)
+    assert cos[2] > cos[1] and round(cos[1], 6) == round(cos[2], 6)
+    equals_sql(spark, made(tmp_path, v), "text_file_report")
