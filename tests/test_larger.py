@@ -9,6 +9,12 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
+from kindred.functions import hyperplanes
+from kindred.functions import vectors as V
+from kindred.operators import joiners as J
+from kindred.operators import tiles, topk
+
+PLANES = hyperplanes.planes(8, 64, 7)
 
 
 def made(folder, vectors):
@@ -38,3 +44,103 @@ def test_report_orders_by_rounded_values(spark, tmp_path):
     cos = 1 / np.linalg.norm(v, axis=1)
     assert cos[2] > cos[1] and round(cos[1], 6) == round(cos[2], 6)
     equals_sql(spark, made(tmp_path, v), "text_file_report")
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    """300 rows of 8 elements; each vector is there three times."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((100, 8))
+    return spark.createDataFrame([(k, base[k % 100].tolist()) for k in range(300)], "id long, vector array<double>").repartition(3).cache()
+
+
+def small_tiles(monkeypatch, broadcast):
+    real = tiles._gathered
+    monkeypatch.setattr(tiles, "_gathered", lambda df, size, encode: real(df, 20, encode))
+    monkeypatch.setattr(tiles, "CELL", 2)
+    if not broadcast:
+        monkeypatch.setattr(tiles, "MOST_BROADCAST", 0)
+
+
+def triples(df):
+    return sorted((r.i, r.j, round(r.value, 9)) for r in df.collect())
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+@pytest.mark.parametrize("similarity", [V.COSINE, V.NEGATIVE_DISTANCE, V.DOT, V.Similarity(V.cosine)])
+def test_best_of_an_exact_join(copies, monkeypatch, broadcast, similarity):
+    """Those of the whole join; copies tie, and the smaller id goes first."""
+    small_tiles(monkeypatch, broadcast)
+    x = {r.id: np.array(r.vector) for r in copies.collect()}
+    of = {V.NEGATIVE_DISTANCE: lambda a, b: -np.linalg.norm(a - b), V.DOT: lambda a, b: a @ b}.get(similarity, lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    for join, order in ((lambda: J.ExactSelfJoin(-0.5, similarity, best=4).join(copies), lambda i, j: i < j),
+                        (lambda: J.ExactQueryJoin(-0.5, similarity, best=4).join(copies, copies), lambda i, j: True)):
+        want = []
+        for i in x:
+            all_ = sorted((-round(of(x[i], x[j]), 9), j) for j in x if order(i, j))
+            want += [(i, j, -v) for v, j in all_[:4] if -v >= -0.5]
+        assert [t[:2] for t in triples(join())] == [t[:2] for t in sorted(want)]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_folds_leave_no_more_than_their_rows(copies, monkeypatch, broadcast):
+    """Each of the 15 tiles gives its best once, or once for each of the other side's 8 groups; before for each of the 15 tiles."""
+    small_tiles(monkeypatch, broadcast)
+    seen = []
+    monkeypatch.setattr(J, "top_k", lambda pairs, *a: seen.append(pairs) or topk.top_k(pairs, *a))
+    for join in (lambda: J.HammingJoin(-1.0, 64, 3).join(copies, copies), lambda: J.HammingJoin(-1.0, 64, 3, broadcast="query", limit_per="catalog").join(copies, copies),
+                 lambda: J.HammingJoin(-1.0, 64, 3, limit_per="catalog").join(copies, copies), lambda: J.ExactQueryJoin(-1.0, best=3).join(copies, copies)):
+        assert join().count() == 900
+    assert len(seen) == 4 and all(900 <= p.count() <= 900 * 8 for p in seen)
+    if broadcast:
+        assert [p.count() for p in (seen[0], seen[1], seen[3])] == [900] * 3
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_hamming_sums(spark, copies, monkeypatch, broadcast):
+    small_tiles(monkeypatch, broadcast)
+    x = {r.id: np.array(r.vector) @ PLANES > 0 for r in copies.collect()}
+    got = {r.i: r for r in J.hamming_sums(copies, copies, PLANES).collect()}
+    assert got.keys() == x.keys()
+    for i, r in got.items():
+        h = np.array([(x[i] != x[j]).sum() for j in x])
+        assert (r.distances, r.equal) == (h.sum(), (h == 0).sum()) and r.cosines == pytest.approx(np.cos(np.pi * h / 64).sum(), abs=1e-9)
+        assert r.nearest == min((x[i] != x[j]).sum() for j in x if j != i)
+    alone = J.hamming_sums(copies.where("id = 1"), copies.where("id = 1"), PLANES).collect()
+    assert [(r.i, r.distances, r.nearest, r.equal, r.cosines) for r in alone] == [(1, 0, None, 1, 1.0)]
+    assert not J.hamming_sums(copies.where("id < 0"), copies, PLANES).collect()
+
+
+def test_symmetric_sample_needs_no_grouping(spark, copies):
+    """Each pair comes once in the first place; of a given sample too."""
+    chosen = copies.where("id % 7 = 2")
+    for join in (J.ExactSelfJoin(0.2, fraction=0.3, seed=1, symmetric=True).join(copies), J.ExactSelfJoin(0.2, symmetric=True).join(copies, chosen)):
+        found = triples(join)
+        assert found and len({t[:2] for t in found}) == len(found)
+        assert "Aggregate" not in join._jdf.queryExecution().optimizedPlan().toString()
+    every = {(i, j) for i, j, _ in triples(J.ExactQueryJoin(0.2).join(copies, copies)) if i != j and (i % 7 == 2 or j % 7 == 2)}
+    assert {t[:2] for t in found} == every
+
+
+def test_distinct_pairs_that_stand_together(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        nan = float("nan")
+        data = [(1, 2, 3.4), (1, 2, 3.5), (1, 3, None), (1, 3, 1.0), (1, 4, None), (2, 4, nan), (2, 4, 9.0), (3, 4, 1.0), (3, 4, 2.0), (3, 4, 0.5), (3, 4, 4.0), (3, 5, 0.0)]
+        df = spark.createDataFrame(data, "i long, j long, value double").coalesce(1)
+        one = topk.distinct_pairs(df, adjacent=True)
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, topk.distinct_pairs(df).collect()))
+        assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+        assert not topk.distinct_pairs(df.where("i < 0"), adjacent=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_custom_column_is_scored_by_tiles_or_on_all_cores(spark, tmp_path):
+    v = np.random.default_rng(1).standard_normal((30, 64)) / 8
+    folder = made(tmp_path, v)
+    equals_sql(spark, folder, "nn_custom_column")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan(entry.queries()["nn_custom_column"](spark, folder))
+    rows = spark.read.parquet(folder + "/embeddings.parquet").selectExpr("vec_id AS id", "CAST(embedding AS array<double>) AS vector")
+    assert "REPARTITION_BY_NUM" in plan(J.ExactSelfJoin(0.2, V.Similarity(V.dot)).join(rows))
